@@ -61,9 +61,9 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make the package importable in Python workers on other machines; once per application."""
+    """Make the package importable in Python workers, here and on other machines; once per application."""
     sc = spark.sparkContext
-    if _is_single_machine(spark) or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     out = Path(tempfile.mkdtemp()) / "pairlens.zip"
