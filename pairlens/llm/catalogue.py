@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pairlens.llm import group_splits, overlap, raking
+from pairlens.llm import encode, group_splits, overlap, raking, unify
 
-_PARTS = (raking, group_splits, overlap)
+_PARTS = (raking, group_splits, overlap, encode, unify)
 QUERIES = {name: f for m in _PARTS for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _PARTS for name, s in m.SQL.items()}
