@@ -117,7 +117,7 @@ def read_answer(raw: str | None) -> Answer:
         elif re.match(r"(?i)\s*class\s*:", first) and not rest:
             reason = ""
     reason = _CLASS_TAG.sub(" ", reason).strip()
-    hanging = bool(re.search(r"(?:^|\n)\s*[-*•]\s*$", body)) or (body[-1] in ",:+-–(/=\ufffd" and not _KEY_ONLY.search(body))
+    hanging = bool(re.search(r"(?:^|\n)\s*[-*•]\s*$", body)) or (body.rstrip(".… ")[-1:] in tuple(",:+-–(/=\ufffd") and not _KEY_ONLY.search(body))
     ends = body[-1] in ENDERS and not body.endswith(("...", "…")) and not re.search(r"\d\.$", body)
     # A class tag closes an answer; so does a finished "reason:" without a reason.
     ends = ends or bool(re.search(r"\(\s*class\s*:[^()]*\)$", body, re.I)) or bool(_KEY_ONLY.search(body))

@@ -12,7 +12,7 @@ FUNCTION_WORDS = {
     "es": "el la los las de del en que con una un por para se su al fue es más entre sobre sin no cerca junto tono según aunque durante quedó cambió pasó luego ni lo como hay está diga hacia",
     "de": "der die das und in im den dem des von zu mit auf um ist war nicht ein eine einer am bei wurde sich aus nach obwohl laut nördlich zur zum kaum etwas oder wie ob dann",
     "fr": "le la les des du de et en une un est été que qui dans sur pour par au aux avec même si plus peu près c'est n'a autour nord ou",
-    "pt": "os as do da dos das de em no na nos nas um uma que com por para se ao foi mais sem não perto junto segundo embora durante ficou mudou passou há",
+    "pt": "os as do da dos das de em no na nos nas um uma que com por para se ao foi mais sem não perto junto segundo embora durante ficou mudou passou há equipe anotou permaneceu ele ela isso este esta seu sua são está foram pelo pela ao dos",
 }
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?", re.UNICODE)

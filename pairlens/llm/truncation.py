@@ -10,10 +10,10 @@ lie under the threshold of its language and column.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +62,7 @@ class _Packed:
         whole = "".join(f"{_BEGIN}{t}{_END}" for t in texts)
         self.c = np.frombuffer((whole + "   ").encode("utf-32-le", "surrogatepass"), np.uint32)
         n = self.c.size
-        kinds = {int(u): (2 if chr(u).isdecimal() else 1 if chr(u).isalpha() or chr(u) in "्ंः" or 0x0300 <= u <= 0x036F or 0x0900 <= u <= 0x0963 else 0) for u in np.unique(self.c)}
+        kinds = {int(u): (2 if chr(u).isdecimal() or chr(u) == "%" or unicodedata.category(chr(u))[0] == "S" else 1 if chr(u).isalpha() or chr(u) in "्ंः" or 0x0300 <= u <= 0x036F or 0x0900 <= u <= 0x0963 else 0) for u in np.unique(self.c)}
         keys = np.fromiter(kinds, np.uint32, len(kinds))
         self.kind = np.fromiter(kinds.values(), np.int8, len(kinds))[np.searchsorted(keys, self.c)]
         with np.errstate(over="ignore"):
@@ -90,7 +90,7 @@ _AFTER_CODES = np.array([ord(x) for x in " \n\t\"}]*" + _END], np.uint32)
 
 
 def _events(p: _Packed) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a word or a digit ends, apart from ends of texts, and whether a sentence ends there."""
+    """Places where a word, a digit or a sign ends, apart from ends of texts, and whether a sentence ends there."""
     k, c = p.kind, p.c
     stop = np.flatnonzero(((k[:-4] == 1) & (k[1:-3] != 1)) | (k[:-4] == 2)) + 1
     at = stop.copy()
@@ -201,7 +201,8 @@ def _final_keys(texts: list[str]) -> list[list[tuple[int, int]]]:
     word = _mix(w.hash(_word_starts(w, w.ends - 1, False), w.ends), 0x30)
     two = _mix(m.hash(_word_starts(m, m.ends - 1, True), m.ends), 0x31)
     n = len(ORDERS)
-    return [[(r, int(h[i])) for r, h in enumerate(ctx)] + ([(n, int(word[i])), (n + 1, int(two[i]))] if word_end[i] else []) for i in range(len(core))]
+    # Of a text of one word the masked context says nothing: only the word counts.
+    return [([(r, int(h[i])) for r, h in enumerate(ctx)] if re.search(r"\s", core[i]) else []) + ([(n, int(word[i])), (n + 1, int(two[i]))] if word_end[i] else []) for i in range(len(core))]
 
 
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
