@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.operators.skew import spread
+
 #: Least pixels of a drop for a threshold, and least area of a box.
 OTSU_PIXELS = 16
 BOX_AREA = 64
@@ -147,7 +149,7 @@ def disturbance_triplets(scenes: DataFrame, key: str, min_drop: float = 0.0) ->
         for p in batches:
             yield pd.DataFrame({key: p[key], "triplets": [one(*x) for x in zip(p["height"], p["width"], p["delta_ndvi"], p["delta_nbr"])]})
 
-    return scenes.select(key, "height", "width", "delta_ndvi", "delta_nbr").mapInPandas(run, f"{key} {kind}, triplets {TRIPLETS}")
+    return spread(scenes.select(key, "height", "width", "delta_ndvi", "delta_nbr")).mapInPandas(run, f"{key} {kind}, triplets {TRIPLETS}")
 
 
 def otsu_scenes(df: DataFrame, key: str, pixels: str, min_drop: float = 0.0) -> DataFrame:
@@ -159,7 +161,7 @@ def otsu_scenes(df: DataFrame, key: str, pixels: str, min_drop: float = 0.0) ->
             got = [otsu_mask(np.asarray([] if v is None else v, float), min_drop) for v in p["_px"]]
             yield pd.DataFrame({key: p[key], "threshold": pd.array([t for _, t in got], dtype="Float64"), "n_mask": [int(m.sum()) for m, _ in got], "share": pd.array([float(m.mean()) if m.size else None for m, _ in got], dtype="Float64")})
 
-    return df.select(key, F.col(pixels).alias("_px")).mapInPandas(run, f"{key} {kind}, threshold double, n_mask int, share double")
+    return spread(df.select(key, F.col(pixels).alias("_px"))).mapInPandas(run, f"{key} {kind}, threshold double, n_mask int, share double")
 
 
 def class_policy(triplets: Column, reference: Column, most: int = 5) -> Column:

@@ -48,3 +48,9 @@ def ranked_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
     before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return inner.join(shift, [*groups, "_slice"]).withColumn(name, F.col("_rn") + F.col("_before")).drop("_rn", "_before", "_slice")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in one partition per core at least, for costly row functions over few large files; a plan with enough partitions is left as it is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
