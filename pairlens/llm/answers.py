@@ -172,20 +172,17 @@ def tiled(answer: list[str], source: list[str], least: int = TILE_WORDS) -> list
 
     A run of the source may serve several tiles, so an answer that repeats its prompt is covered whole.
     """
-    n, m = len(answer), len(source)
+    n = len(answer)
     covered = [False] * n
     places: dict[str, list[int]] = {}
     for j, w in enumerate(source):
         places.setdefault(w, []).append(j)
-    # longest[i]: the longest common run that starts at answer[i].
-    below = [0] * (m + 1)
+    # longest[i]: the longest common run that starts at answer[i]; only places with equal words are kept.
+    below: dict[int, int] = {}
     longest = [0] * n
     for i in range(n - 1, -1, -1):
-        row = [0] * (m + 1)
-        for j in places.get(answer[i], ()):
-            row[j] = below[j + 1] + 1
-            longest[i] = max(longest[i], row[j])
-        below = row
+        below = {j: below.get(j + 1, 0) + 1 for j in places.get(answer[i], ())}
+        longest[i] = max(below.values(), default=0)
     for i in sorted(range(n), key=lambda k: -longest[k]):
         run = 0
         while run < longest[i] and not covered[i + run]:

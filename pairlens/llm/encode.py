@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from pairlens.operators.skew import spread
 from pairlens.sources.tables import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -182,7 +183,7 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
             values = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def p7_ids(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm.unify import canonical_text
+from pairlens.operators.skew import spread
 from pairlens.sources.tables import table
 
 #: Words of the shortest passage that counts, and how many words one edit needs.
@@ -28,6 +29,8 @@ SEED_WORDS = 6
 MIN_SEEDS = 7
 #: Characters of items that one pass holds in a worker's memory; more items are searched in several passes.
 BLOCK_CHARS = 32_000_000
+#: Words of an item that are aligned at once.
+PART_WORDS = 400
 MATCH, MISMATCH, GAP = 1, -1, -1
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
@@ -92,12 +95,27 @@ class ItemIndex:
         found = []
         for k in np.unique(item[np.isin(item, np.flatnonzero(np.bincount(item, minlength=len(self.ids)) >= MIN_SEEDS))]):
             mine = item == k
-            best = best_passage(self.words[k], doc, where[mine], at[mine])
+            best = _best_part(self.words[k], doc, where[mine], at[mine])
             if best:
                 found.append((self.ids[k], *best))
         return found
 
 
+def _best_part(item: np.ndarray, doc: np.ndarray, where: np.ndarray, at: np.ndarray) -> tuple[int, int, int] | None:
+    """:func:`best_passage` over parts of a long item that overlap by half.
+
+    A passage with one edit in ten has a stretch of 30 words with no more, so some part holds one.
+    """
+    if len(item) <= PART_WORDS:
+        return best_passage(item, doc, where, at)
+    found = []
+    for start in range(0, len(item) - PART_WORDS // 2, PART_WORDS // 2):
+        inside = (at >= start) & (at < start + PART_WORDS)
+        if inside.sum() >= MIN_SEEDS and (got := best_passage(item[start : start + PART_WORDS], doc, where[inside], at[inside] - start)):
+            found.append(got)
+    return max(found, default=None)
+
+
 def best_passage(item: np.ndarray, doc: np.ndarray, where: np.ndarray, at: np.ndarray) -> tuple[int, int, int] | None:
     """(words, edits, score) of a passage of the item in the document, near the seeds at ``where`` (item's ``at``), or None."""
     order = np.argsort(where, kind="stable")
@@ -180,6 +198,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_chars: int = BLOC
     spark = documents.sparkSession
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * chars // block_chars) if chars > block_chars else 1)
+    docs = spread(documents.select("doc_id", "text"))
     out = None
     for b in range(blocks):
         some = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
@@ -194,7 +213,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_chars: int = BLOC
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "words", "edits", "score"])
 
-        found = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, words int, edits int, score int")
+        found = docs.mapInArrow(run, "doc_id long, item_id long, words int, edits int, score int")
         out = found if out is None else out.unionByName(found)
     return out
 

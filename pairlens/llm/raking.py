@@ -93,7 +93,7 @@ def raked_sample(rows: DataFrame, mix: DataFrame, seed: int = SEED) -> tuple[Dat
     pool = mix_pool(rows, want)
     supply = pool.groupBy("mix_id", "candidate_class").agg(F.count(F.lit(1)).alias("supply"))
     plan = want.join(supply, ["mix_id", "candidate_class"], "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
-    shares = want.select("mix_id", "candidate_class", "sample_rows", F.coalesce("target_share", F.lit(0.0)).alias("target_share"))
+    shares = want.select("mix_id", "candidate_class", F.coalesce("sample_rows", F.lit(0)).alias("sample_rows"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"))
     filled = pool.withColumn("study_area", F.coalesce("study_area", F.lit(""))).withColumn("trend", F.coalesce("trend", F.lit("")))
     cells = filled.groupBy("mix_id", "candidate_class", "study_area", "trend").agg(F.count(F.lit(1)).alias("n")).join(shares, ["mix_id", "candidate_class"])
     weights = cells.groupBy("mix_id").applyInPandas(_rake_mix, "mix_id int, candidate_class string, study_area string, trend string, weight double")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pairlens.llm.answers import ENDERS, defect_of
 from pairlens.llm.languages import CODES, language_of
 from pairlens.llm.unify import canonical_text
-from pairlens.operators.skew import salted_join
+from pairlens.operators.skew import salted_join, spread
 from pairlens.session import materialize
 from pairlens.sources.tables import table
 
@@ -33,6 +33,9 @@ THRESHOLD_SHARE = 0.5
 WORD_THRESHOLD = -3.5
 #: Contexts that one task holds before it merges them.
 HELD_KEYS = 4_000_000
+#: Characters that are hashed at once, and those of a text's end that its final context is taken from.
+PACK_CHARS = 500_000
+TAIL_CHARS = 1_000
 
 _NAME = re.compile(r"\b[A-ZÀ-ÖØ-ÞĀ-Ž][a-zß-öø-ÿā-ž]{2,}\b")
 _DIGIT = re.compile(r"\d")
@@ -167,12 +170,25 @@ def _batch(m: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in m], ["key", "seen", "ended"])
 
 
+def _packs(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in lists of PACK_CHARS characters at most, or of one text."""
+    pack, size = [], 0
+    for t in texts:
+        if pack and size + len(t) > PACK_CHARS:
+            yield pack
+            pack, size = [], 0
+        pack.append(t)
+        size += len(t)
+    if pack:
+        yield pack
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: list = []
     for b in batches:
         texts = [t for t in (canonical_text(x) for x in b.column(0).to_pylist()) if t]
-        for i in range(0, len(texts), 1000):
-            parts.append(_counts(texts[i : i + 1000]))
+        for some in _packs(texts):
+            parts.append(_counts(some))
         if sum(len(x[0]) for x in parts) > HELD_KEYS:
             parts = [_merged(parts)]
             if len(parts[0][0]) > HELD_KEYS // 2:
@@ -183,7 +199,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def end_model(texts: DataFrame, column: str) -> DataFrame:
     """(``key``, ``seen``, ``ended``) of every context of a column; null, empty and invisible texts count nothing."""
-    c = texts.select(column).mapInArrow(_count_batches, "key long, seen long, ended long")
+    c = spread(texts.select(column)).mapInArrow(_count_batches, "key long, seen long, ended long")
     return c.groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
 
 
@@ -194,7 +210,10 @@ def _final_keys(texts: list[str]) -> list[list[tuple[int, int]]]:
         s = t.rstrip()
         if s.endswith(("...", "…")):
             s = s.rstrip(".… ")
-        core.append(s.rstrip(ENDERS + _CLOSERS + " \n"))
+        s = s.rstrip(ENDERS + _CLOSERS + " \n")
+        if len(s) > TAIL_CHARS:
+            s = s[-TAIL_CHARS:].partition(" ")[2] or s[-TAIL_CHARS:]
+        core.append(s)
     m, w = _Packed([masked(t) for t in core]), _Packed(core)
     ctx = m.contexts(m.ends)
     word_end = w.kind[w.ends - 1] == 1
@@ -237,20 +256,27 @@ def judged_answers(rows: DataFrame) -> DataFrame:
     """
     rows = rows.select("row_id", "combo_id", "prompt_text", "raw_text", "justification", "answer_format")
     model = materialize(end_model(rows, "raw_text"), "ends")
-    seen = materialize(rows.mapInArrow(_examine, "row_id long, combo_id string, defect string, open boolean, language long, finals array<struct<rank:int,key:long>>"), "answers")
-    finals = seen.select("row_id", "language", F.explode("finals").alias("f")).select("row_id", "language", F.col("f.rank").alias("rank"), F.col("f.key").alias("key"))
+    seen = materialize(spread(rows).mapInArrow(_examine, "row_id long, combo_id string, defect string, open boolean, language long, finals array<struct<rank:int,key:long>>"), "answers")
+    seen = seen.withColumn("final", F.when(F.size("finals") > 0, F.xxhash64("language", "finals")))
+    # Equal ends are looked up once, however many rows have them.
+    finals = seen.filter("final is not null").select("final", "language", "finals").dropDuplicates(["final"])
+    asked = finals.select("final", "language", F.explode("finals").alias("f")).select("final", "language", F.col("f.rank").alias("rank"), F.col("f.key").alias("key"))
     odds = lambda ended, n: F.log((ended + 0.5) / (n - ended + 0.5))
     # One row for each language code at most.
     base = model.filter(F.col("key").isin([_language_key(c) for c in CODES])).select(F.col("key").alias("language"), (odds(F.col("ended"), F.col("seen")) * THRESHOLD_SHARE).alias("threshold"))
-    met = salted_join(finals, model.filter(F.col("seen") >= LEAST_SEEN), ["key"], F.col("row_id"))
+    met = salted_join(asked, model.filter(F.col("seen") >= LEAST_SEEN), ["key"], F.col("final"))
     met = met.join(F.broadcast(base), "language", "left").withColumn("odds", odds(F.col("ended"), F.col("seen")))
     sentence = F.col("rank") < len(ORDERS)
-    scores = met.groupBy("row_id").agg(
+    scores = met.groupBy("final").agg(
         F.min(F.when(sentence, F.struct("rank", "odds", "threshold"))).alias("context"),
         F.min(F.when(~sentence, F.col("odds"))).alias("word"),
     )
-    unfinished = scores.select("row_id", (F.coalesce(F.col("context.odds") < F.coalesce("context.threshold", F.lit(0.0)), F.lit(False)) | F.coalesce(F.col("word") < WORD_THRESHOLD, F.lit(False))).alias("unfinished"))
-    out = seen.select("row_id", "combo_id", "defect", "open").join(unfinished, "row_id", "left").withColumn("cut", F.col("open") | F.coalesce("unfinished", F.lit(False)))
+    low = F.coalesce(F.col("context.odds") < F.coalesce("context.threshold", F.lit(0.0)), F.lit(False)) | F.coalesce(F.col("word") < WORD_THRESHOLD, F.lit(False))
+    verdicts = finals.select("final").join(scores.select("final", low.alias("unfinished")), "final", "left").select("final", F.coalesce("unfinished", F.lit(False)).alias("unfinished"))
+    columns = ["row_id", "combo_id", "defect", "open", "unfinished"]
+    judged = salted_join(seen.filter("final is not null"), verdicts, ["final"], F.col("row_id")).select(columns)
+    out = judged.unionByName(seen.filter("final is null").withColumn("unfinished", F.lit(False)).select(columns))
+    out = out.withColumn("cut", F.col("open") | F.col("unfinished"))
     return out.select("row_id", "combo_id", "cut", F.when(F.col("cut"), F.lit("truncated")).otherwise(F.col("defect")).alias("defect"))
 
 

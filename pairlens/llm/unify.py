@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.operators.skew import salted_join
+from pairlens.operators.skew import salted_join, spread
 from pairlens.sources.tables import table
 
 # Letters that look like a Latin letter or like each other, and what they become.
@@ -143,7 +143,7 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def form_hashes(documents: DataFrame) -> DataFrame:
     """(``doc_id``, ``form_hash``, ``text_hash``), 128 bits each; the form's hash is null where nothing is visible."""
-    return documents.select("doc_id", "text").mapInPandas(_forms, "doc_id long, form_hash binary, text_hash binary")
+    return spread(documents.select("doc_id", "text")).mapInPandas(_forms, "doc_id long, form_hash binary, text_hash binary")
 
 
 def look_alike_classes(documents: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def p9_texts(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every document's text in the one form; null stays null."""
-    return table(spark, data_dir, "documents").select("doc_id", "text").mapInPandas(_spelled, "doc_id long, text string")
+    return spread(table(spark, data_dir, "documents").select("doc_id", "text")).mapInPandas(_spelled, "doc_id long, text string")
 
 
 def p9_classes(spark: SparkSession, data_dir: str) -> DataFrame:
