@@ -312,7 +312,7 @@ def q_threshold_fit(spark: SparkSession, d: str) -> DataFrame:
     return fit.threshold_fit(_cards(spark, d).withColumn("v", F.round("NDVI", 2)), "v")
 
 
-@query(f"""with r as (select {_DN} as v, gold from predictions_explain where {_DN} is not null), c as (select 0.05 as q, quantile_cont(v, 0.05) as lo, quantile_cont(v, 0.95) as hi from r union all select 0.1 as q, quantile_cont(v, 0.1) as lo, quantile_cont(v, 0.9) as hi from r union all select 0.15 as q, quantile_cont(v, 0.15) as lo, quantile_cont(v, 0.85) as hi from r union all select 0.2 as q, quantile_cont(v, 0.2) as lo, quantile_cont(v, 0.8) as hi from r union all select 0.25 as q, quantile_cont(v, 0.25) as lo, quantile_cont(v, 0.75) as hi from r),
+@query(f"""with r as (select {_DN} as v, gold from predictions_explain where {_DN} is not null), c as (select 0.05::double as q, quantile_cont(v, 0.05) as lo, quantile_cont(v, 0.95) as hi from r union all select 0.1::double as q, quantile_cont(v, 0.1) as lo, quantile_cont(v, 0.9) as hi from r union all select 0.15::double as q, quantile_cont(v, 0.15) as lo, quantile_cont(v, 0.85) as hi from r union all select 0.2::double as q, quantile_cont(v, 0.2) as lo, quantile_cont(v, 0.8) as hi from r union all select 0.25::double as q, quantile_cont(v, 0.25) as lo, quantile_cont(v, 0.75) as hi from r),
 b as (select lo as lo0, hi as hi0 from c where q = 0.15)
 select q, count(*) as n, count(*) filter (case when v <= lo then 'decline' when v >= hi then 'increase' else 'stable' end <> case when v <= lo0 then 'decline' when v >= hi0 then 'increase' else 'stable' end) as changed,
  count(*) filter (v <= lo) as decline, count(*) filter (v >= hi and not v <= lo) as increase from r, c, b group by q""")

@@ -55,7 +55,7 @@ def logged_ids(spark: SparkSession, path: str, marker: str, pattern: str = r"\[\
     """
     from pyspark.sql import functions as F
 
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
     start = lines.filter(F.col("value").contains(marker)).agg(F.min("line").alias("start"))
     hits = lines.join(F.broadcast(start)).filter(F.col("line") > F.col("start")).withColumn("id", F.regexp_extract("value", pattern, 1)).filter("id <> ''")
     return hits.groupBy("id").agg(F.min("line").alias("first_line"))
