@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlens.session import materialize, small_or_not
+
 #: Rows of one key that one task may hold before the key is split.
 HOT_ROWS = 20_000
 
@@ -26,10 +28,15 @@ def salted_join(
 ) -> DataFrame:
     """Inner equi-join in which hot keys of ``many`` are split over salts and ``few`` is repeated for each salt.
 
-    ``spread`` picks the salt of a row of ``many`` (a hash of its id). Keys that are null match nothing. Column names of the
+    The hot keys are counted first, by a job of its own, so ``many`` should be cheap to read twice; where none is hot this is a
+    plain join. ``spread`` picks the salt of a row of ``many`` (a hash of its id). Keys that are null match nothing. Column names of the
     two sides must differ apart from ``keys``. ``extra`` is a further join condition. No row is dropped or capped.
     """
-    hot = hot_keys(many, keys, hot_rows)
+    hot = materialize(hot_keys(many, keys, hot_rows), "hot")
+    if hot.isEmpty():
+        out = many.join(few, list(keys), "inner")
+        return out if extra is None else out.filter(extra)
+    hot = small_or_not(hot)
     left = many.join(hot, list(keys), "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"))).drop("_salts")
     right = few.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     out = left.join(right, [*keys, "_salt"], "inner").drop("_salt")

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions
 
 _shipped: set[str] = set()
 
@@ -60,6 +60,18 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table whose rows were counted may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it is counted to have ``rows`` rows at most; else as it is, for a join by shuffle.
+
+    ``df`` should be a table that :func:`materialize` wrote, so that counting it costs nothing.
+    """
+    return functions.broadcast(df) if df.count() <= rows else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable in Python workers, here and on other machines; once per application."""
     sc = spark.sparkContext
