@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions.keys import clean_word, patch_number
+from pairlens.session import materialize, small_or_not
 from pairlens.sources.tables import table
 
 #: Slices of a class from which candidates are drawn before they are merged.
@@ -71,14 +72,18 @@ def mix_pool(rows: DataFrame, mix: DataFrame) -> DataFrame:
 
     ``rows`` needs ``patch``, ``candidate_class`` (cleaned), ``study_area`` and ``trend``. Rows without patch or class supply nothing;
     a null area is found only by mixes of all areas. Of a patch that comes with several areas or trends the least ones are kept.
+    Rows are folded to one per patch with its few (class, area) pairs, which is the only shuffle of rows.
     """
     p = rows.filter(F.col("patch").isNotNull() & F.col("candidate_class").isNotNull())
-    where = mix.select("mix_id", "mix_area", "candidate_class")
-    areas = where.filter("mix_area is not null").withColumnRenamed("mix_area", "study_area")
-    per_area = p.groupBy("patch", "candidate_class", "study_area").agg(F.min("trend").alias("trend"))
-    anywhere = p.groupBy("patch", "candidate_class").agg(F.min("study_area").alias("study_area"), F.min("trend").alias("trend"))
-    keep = ["mix_id", "candidate_class", "patch", "study_area", "trend"]
-    return per_area.join(areas, ["study_area", "candidate_class"]).select(keep).unionByName(anywhere.join(where.filter("mix_area is null").drop("mix_area"), "candidate_class").select(keep))
+    pair = F.struct("candidate_class", "study_area", "trend")
+    named = p.groupBy("patch").agg(F.collect_set(pair).alias("named"))
+    each = F.explode(F.array_distinct(F.transform("named", lambda x: x["candidate_class"])))
+    of = named.select("patch", "named", each.alias("candidate_class"))
+    wanted = mix.select("mix_id", "mix_area", "candidate_class").distinct()
+    inside = F.filter("named", lambda x: (x["candidate_class"] == F.col("candidate_class")) & (F.col("mix_area").isNull() | F.coalesce(x["study_area"] == F.col("mix_area"), F.lit(False))))
+    least = lambda f: F.array_min(F.transform("inside", lambda x: F.coalesce(x[f], F.lit(""))))
+    met = of.join(small_or_not(wanted), "candidate_class").withColumn("inside", inside).filter(F.size("inside") > 0)
+    return met.select("mix_id", "candidate_class", "patch", least("study_area").alias("study_area"), least("trend").alias("trend"))
 
 
 def raked_sample(rows: DataFrame, mix: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -88,26 +93,33 @@ def raked_sample(rows: DataFrame, mix: DataFrame, seed: int = SEED) -> tuple[Dat
     class the ``need`` rows of least exponential key are drawn, first those of its share and then, down the same order, those
     of its minimum; a patch is drawn once in a mix, for the class that is scarcest. The report has ``need``, ``supply`` (distinct
     patches that name the class), ``drawn`` and ``gap`` (how far the supply falls short). Empty pools draw nothing.
+
+    Counts of cells (mix, class, area, trend) are taken first; their number grows with the categories, not with the rows.
+    Each task keeps only the rows that could still be drawn before anything is moved, and slices of a class are merged.
     """
-    want = targets(mix)
+    want = materialize(targets(mix), "targets")
+    most = want.agg(F.coalesce(F.max("need"), F.lit(0))).first()[0]
     pool = mix_pool(rows, want)
-    supply = pool.groupBy("mix_id", "candidate_class").agg(F.count(F.lit(1)).alias("supply"))
-    plan = want.join(supply, ["mix_id", "candidate_class"], "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
+    cells = materialize(pool.groupBy("mix_id", "candidate_class", "study_area", "trend").agg(F.count(F.lit(1)).alias("n")), "cells")
+    supply = cells.groupBy("mix_id", "candidate_class").agg(F.sum("n").alias("supply"))
+    plan = materialize(want.join(supply, ["mix_id", "candidate_class"], "left").withColumn("supply", F.coalesce("supply", F.lit(0))), "plan")
     shares = want.select("mix_id", "candidate_class", F.coalesce("sample_rows", F.lit(0)).alias("sample_rows"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"))
-    filled = pool.withColumn("study_area", F.coalesce("study_area", F.lit(""))).withColumn("trend", F.coalesce("trend", F.lit("")))
-    cells = filled.groupBy("mix_id", "candidate_class", "study_area", "trend").agg(F.count(F.lit(1)).alias("n")).join(shares, ["mix_id", "candidate_class"])
-    weights = cells.groupBy("mix_id").applyInPandas(_rake_mix, "mix_id int, candidate_class string, study_area string, trend string, weight double")
+    kind = dict(want.dtypes)["mix_id"]
+    weights = cells.join(shares, ["mix_id", "candidate_class"]).groupBy("mix_id").applyInPandas(_rake_mix, f"mix_id {kind}, candidate_class string, study_area string, trend string, weight double")
+    weights = materialize(weights.join(plan.select("mix_id", "candidate_class", "need", "supply"), ["mix_id", "candidate_class"]), "weights")
     h = F.xxhash64(F.col("patch"), F.col("mix_id"), F.lit(seed))
     uniform = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    keyed = pool.join(small_or_not(weights), ["mix_id", "candidate_class", "study_area", "trend"])
     # Cells that the margins want 0 times come last instead of never, so that minimums can still be met.
-    keyed = filled.join(weights, ["mix_id", "candidate_class", "study_area", "trend"]).join(plan.select("mix_id", "candidate_class", "need", "supply"), ["mix_id", "candidate_class"])
     keyed = keyed.withColumn("draw_key", -F.log(uniform) / F.greatest(F.col("weight"), F.lit(1e-12)))
+    # The pool is laid out by patch, so this takes no shuffle.
     once = Window.partitionBy("mix_id", "patch").orderBy(F.col("supply") / F.greatest(F.col("need"), F.lit(1)), "candidate_class")
-    keyed = keyed.withColumn("_turn", F.row_number().over(once)).filter("_turn = 1")
-    slices = Window.partitionBy("mix_id", "candidate_class", "_slice").orderBy("draw_key", "patch")
-    few = keyed.withColumn("_slice", F.pmod(h, F.lit(SLICES))).withColumn("_place", F.row_number().over(slices)).filter("_place <= need")
+    keyed = keyed.withColumn("_turn", F.row_number().over(once)).filter("_turn = 1").select("mix_id", "candidate_class", "patch", "draw_key", "need")
+    sliced = keyed.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+    in_slice = Window.partitionBy("mix_id", "candidate_class", "_slice").orderBy("draw_key", "patch")
+    few = sliced.withColumn("_place", F.row_number().over(in_slice)).filter(F.col("_place") <= F.lit(int(most)))
     whole = Window.partitionBy("mix_id", "candidate_class").orderBy("draw_key", "patch")
-    sample = few.withColumn("_place", F.row_number().over(whole)).filter("_place <= need").select("mix_id", "candidate_class", "patch", "draw_key")
+    sample = few.withColumn("_place", F.row_number().over(whole)).filter(F.col("_place") <= F.lit(int(most))).filter("_place <= need").select("mix_id", "candidate_class", "patch", "draw_key")
     drawn = sample.groupBy("mix_id", "candidate_class").agg(F.count(F.lit(1)).alias("drawn"))
     report = plan.join(drawn, ["mix_id", "candidate_class"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumn("gap", F.greatest(F.col("need") - F.col("supply"), F.lit(0)))
     reached = Window.partitionBy("mix_id")
