@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.operators.skew import salted_join, spread
+from pairlens.session import materialize
 from pairlens.sources.tables import table
 
 # Letters that look like a Latin letter or like each other, and what they become.
@@ -152,7 +153,7 @@ def look_alike_classes(documents: DataFrame) -> DataFrame:
     The class id is the least ``doc_id`` with the same form; ``n_forms`` counts the different texts. Documents with a null or
     invisible text, and those whose look-alikes are all byte-equal, are left out. Groups are counted, never gathered.
     """
-    h = form_hashes(documents).filter(F.col("form_hash").isNotNull())
+    h = materialize(form_hashes(documents).filter(F.col("form_hash").isNotNull()), "forms")
     texts = h.groupBy("form_hash", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     several = texts.groupBy("form_hash").agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n").alias("n_docs"), F.min("first").alias("class_id")).filter("n_forms > 1")
     return salted_join(h.select("doc_id", "form_hash"), several, ["form_hash"], F.col("doc_id")).select("doc_id", "class_id", "n_forms", "n_docs")
@@ -175,9 +176,9 @@ def p9_classes(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Pairs of documents that look the same but differ in their characters."""
-    h = form_hashes(table(spark, data_dir, "documents")).filter(F.col("form_hash").isNotNull())
+    h = materialize(form_hashes(table(spark, data_dir, "documents")).filter(F.col("form_hash").isNotNull()), "forms")
     several = h.groupBy("form_hash", "text_hash").agg(F.lit(1).alias("one")).groupBy("form_hash").agg(F.count("one").alias("n")).filter("n > 1").select("form_hash")
-    some = salted_join(h, several, ["form_hash"], F.col("doc_id"))
+    some = materialize(salted_join(h, several, ["form_hash"], F.col("doc_id")), "look-alikes")
     a = some.select("form_hash", F.col("doc_id").alias("doc_a"), F.col("text_hash").alias("hash_a"))
     b = some.select("form_hash", F.col("doc_id").alias("doc_b"), F.col("text_hash").alias("hash_b"))
     return salted_join(b, a, ["form_hash"], F.col("doc_b")).filter((F.col("doc_a") < F.col("doc_b")) & (F.col("hash_a") != F.col("hash_b"))).select("doc_a", "doc_b")
