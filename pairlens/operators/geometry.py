@@ -38,7 +38,7 @@ def touching_pairs(points: DataFrame, footprint: float = S.FOOTPRINT_M, slack: f
     return j.select(F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b"), F.hypot(dx, dy).alias("metres"), F.when(F.least(dx, dy) < edge, "edge").otherwise("corner").alias("kind"))
 
 
-def nearest(left: DataFrame, right: DataFrame, side: float, exclude_same_id: bool = False, growth: int = 4) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, side: float, exclude_same_id: bool = False, growth: int = 8) -> DataFrame:
     """For each left point its nearest right point (``id``, ``nn``, ``dist``), exactly; ties go to the smaller right id.
 
     Both sides need ``id``, ``x``, ``y``. Cells of ``side`` are searched with their neighbours; an answer no farther than ``side``

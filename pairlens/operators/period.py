@@ -49,3 +49,49 @@ def dilution(values: Column, canvas: int) -> tuple[Column, Column]:
     """(native mean, mean over a canvas of ``canvas`` cells whose padding is 0) of an array, each rounded to 4 digits."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
     return F.round(total / F.nullif(F.size(values), F.lit(0)), 4), F.round(total / canvas, 4)
+
+
+# Scene classes that hide the ground (shadow, clouds, cirrus, snow).
+HIDDEN_SCENES = (3, 8, 9, 10, 11)
+
+
+def visible(scene_class: Column) -> Column:
+    """Whether a pixel's scene class shows the ground; false for null."""
+    return F.coalesce(~scene_class.isin(*HIDDEN_SCENES), F.lit(False))
+
+
+def composite(obs: DataFrame, keys: Sequence[str], values: Sequence[str], keep: Column | None = None, how: str = "median") -> DataFrame:
+    """Medians, sums or means of ``values`` by ``keys`` over the observations that ``keep`` admits; null values count nothing."""
+    agg = {"median": F.median, "sum": F.sum, "mean": F.avg}[how]
+    o = obs if keep is None else obs.filter(keep)
+    return o.groupBy(*keys).agg(*[agg(v).alias(v) for v in values])
+
+
+def dominant_orbit(obs: DataFrame, keys: Sequence[str], orbit: str, default: str = "DESCENDING") -> DataFrame:
+    """``keys`` and the most frequent orbit of each, ties by name; the default where none is known."""
+    from pairlens.operators.metrics import dominant
+
+    d = dominant(obs, keys, orbit).drop("n")
+    return obs.select(*keys).distinct().join(d, list(keys), "left").withColumn(orbit, F.coalesce(orbit, F.lit(default)))
+
+
+def radar_composite(obs: DataFrame, keys: Sequence[str], values: Sequence[str], orbit: str, keep: Column | None = None) -> DataFrame:
+    """Medians over the observations of each key's dominant orbit."""
+    o = obs if keep is None else obs.filter(keep)
+    return composite(o.join(dominant_orbit(o, keys, orbit), [*keys, orbit], "left_semi"), keys, values)
+
+
+def masked_fraction(obs: DataFrame, keys: Sequence[str], valid: Column) -> DataFrame:
+    """Share of the observations that are masked."""
+    return obs.groupBy(*keys).agg((1 - F.avg(F.coalesce(valid, F.lit(False)).cast("double"))).alias("masked_fraction"))
+
+
+def region_means(places: DataFrame, obs: DataFrame, radius_m: float, key: str, value: str) -> DataFrame:
+    """(``key``, ``n``, ``mean``) of the observations within a radius of each place, whatever their number.
+
+    Both sides need ``lon`` and ``lat``, the observations an ``obs_id``; places without observations give no row.
+    """
+    from pairlens.operators.spatial import near_join
+
+    hits = near_join(places, obs, radius_m, key, "obs_id").select(F.col("id_l").alias(key), F.col("id_r").alias("obs_id"))
+    return hits.join(obs.select("obs_id", value), "obs_id").groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
