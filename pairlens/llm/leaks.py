@@ -28,7 +28,7 @@ SEED_WORDS = 6
 #: Least seeds of a passage: 30 words with 3 edits keep 30 - 3 - 4 * 5 = 7; every other length keeps more.
 MIN_SEEDS = 7
 #: Characters of items that one pass holds in a worker's memory; more items are searched in several passes.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 #: Words of an item that are aligned at once.
 PART_WORDS = 400
 MATCH, MISMATCH, GAP = 1, -1, -1
