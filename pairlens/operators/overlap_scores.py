@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pairlens.functions.text import bigrams, tokens
 from pairlens.operators.skew import salted_join
+from pairlens.session import materialize
 
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
@@ -66,26 +67,25 @@ def near_duplicates(df: DataFrame, key: str, text: Column, by: Sequence[str] = (
     n - ceil(n * cutoff / (2 - cutoff)) + 1. Candidates meet on these words, so no pair is lost and none is formed without
     a shared one; the exact score decides.
     """
-    t = df.select(*by, F.col(key).alias("_key"), tokens(text).alias("_t"))
-    folded = t.groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("copies"), F.min("_key").alias("_rep"))
+    group = F.to_json(F.struct(*by)) if by else F.lit("")  # a null is a group of its own
+    t = df.select(*by, F.col(key).alias("_key"), group.alias("_g"), tokens(text).alias("_t"))
+    folded = materialize(t.groupBy("_g", "_t").agg(F.count(F.lit(1)).alias("copies"), F.min("_key").alias("_rep")), "folded")
     # Repeats get their number, so that multisets compare as sets.
-    words = folded.filter(F.size("_t") > 0).select(*by, "_rep", F.size("_t").alias("_n"), F.posexplode("_t").alias("_i", "_w"))
-    from pyspark.sql import Window
-
-    nth = words.withColumn("_w", F.concat_ws(" ", "_w", F.row_number().over(Window.partitionBy(*by, "_rep", "_w").orderBy("_i")).cast("string")))
-    freq = nth.groupBy(*by, "_w").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = nth.join(freq, [*by, "_w"]).withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_rep").orderBy("_df", "_w")))
+    words = folded.filter(F.size("_t") > 0).select("_g", "_rep", F.size("_t").alias("_n"), F.posexplode("_t").alias("_i", "_w"))
+    nth = words.withColumn("_w", F.concat_ws(" ", "_w", F.row_number().over(Window.partitionBy("_g", "_rep", "_w").orderBy("_i")).cast("string")))
+    freq = nth.groupBy("_g", "_w").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = salted_join(nth, freq, ["_g", "_w"], F.col("_rep")).withColumn("_place", F.row_number().over(Window.partitionBy("_g", "_rep").orderBy("_df", "_w")))
     share = cutoff / (2 - cutoff)
-    prefix = ranked.filter(F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(share) - F.lit(1e-9)) + 1)
-    a = prefix.select(*by, "_w", F.col("_rep").alias("_a"), F.col("_n").alias("_na"))
-    b = prefix.select(*by, "_w", F.col("_rep").alias("_b"), F.col("_n").alias("_nb"))
+    prefix = materialize(ranked.filter(F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(share) - F.lit(1e-9)) + 1), "prefix")
+    a = prefix.select("_g", "_w", F.col("_rep").alias("_a"), F.col("_n").alias("_na"))
+    b = prefix.select("_g", "_w", F.col("_rep").alias("_b"), F.col("_n").alias("_nb"))
     near_size = (F.col("_na") >= F.col("_nb") * F.lit(share) - 1e-9) & (F.col("_nb") >= F.col("_na") * F.lit(share) - 1e-9)
-    pairs = salted_join(b, a, [*by, "_w"], F.col("_b")).filter((F.col("_a") < F.col("_b")) & near_size).select(*by, "_a", "_b").distinct()
-    texts = folded.select(*by, "_rep", "_t")
-    scored = pairs.join(texts.withColumnsRenamed({"_rep": "_a", "_t": "_ta"}), [*by, "_a"]).join(texts.withColumnsRenamed({"_rep": "_b", "_t": "_tb"}), [*by, "_b"]).filter(_rouge(F.col("_ta"), F.col("_tb")) > cutoff)
-    hits = scored.select(*by, F.explode(F.array("_a", "_b")).alias("_rep")).distinct().withColumn("_hit", F.lit(True))
-    marked = folded.join(hits, [*by, "_rep"], "left").withColumn("near_duplicate", F.coalesce("_hit", F.lit(False)) | ((F.col("copies") > 1) & (F.size("_t") > 0)))
-    return t.join(marked.select(*by, "_t", "copies", "near_duplicate"), [*by, "_t"]).select(*by, F.col("_key").alias(key), "copies", "near_duplicate")
+    pairs = salted_join(b, a, ["_g", "_w"], F.col("_b")).filter((F.col("_a") < F.col("_b")) & near_size).select("_g", "_a", "_b").distinct()
+    texts = folded.select("_g", "_rep", "_t")
+    scored = pairs.join(texts.withColumnsRenamed({"_rep": "_a", "_t": "_ta"}), ["_g", "_a"]).join(texts.withColumnsRenamed({"_rep": "_b", "_t": "_tb"}), ["_g", "_b"]).filter(_rouge(F.col("_ta"), F.col("_tb")) > cutoff)
+    hits = scored.select("_g", F.explode(F.array("_a", "_b")).alias("_rep")).distinct().withColumn("_hit", F.lit(True))
+    marked = folded.join(hits, ["_g", "_rep"], "left").withColumn("near_duplicate", F.coalesce("_hit", F.lit(False)) | ((F.col("copies") > 1) & (F.size("_t") > 0)))
+    return salted_join(t, marked.select("_g", "_t", "copies", "near_duplicate"), ["_g", "_t"], F.col("_key")).select(*by, F.col("_key").alias(key), "copies", "near_duplicate")
 
 
 def near_duplicate_share(marked: DataFrame, by: Sequence[str]) -> DataFrame:
