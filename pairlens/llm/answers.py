@@ -16,7 +16,7 @@ from pairlens.llm.unify import canonical_text
 
 #: Words of the shortest tile, and how much of an answer may lie outside the tiles of a copy.
 TILE_WORDS = 2
-LOOSE_SHARE = 0.15
+LOOSE_SHARE = 0.1
 #: Least words of an answer that can be a copy.
 COPY_WORDS = 4
 
@@ -199,7 +199,7 @@ def is_copy(reason: str, prompt: str | None) -> tuple[bool, bool]:
         return False, False
     known = {tuple(p[i : i + TILE_WORDS]) for i in range(len(p) - TILE_WORDS + 1)}
     shared = sum(tuple(a[i : i + TILE_WORDS]) in known for i in range(len(a) - TILE_WORDS + 1))
-    # A copy's tiles hold 85 % of its words, and each tile of L words L - 1 of these runs: fewer can't make a copy.
+    # A copy's tiles hold 90 % of its words, and each tile of L words L - 1 of these runs: fewer can't make a copy.
     if shared * 4 < len(a) - 4:
         return False, False
     covered = tiled(a, p)
