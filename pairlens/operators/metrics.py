@@ -65,3 +65,9 @@ def class_rank(c: Column, order: Sequence[str] = CLASSES) -> Column:
     for i, name in reversed(list(enumerate(order))):
         out = F.when(c == name, i).otherwise(out)
     return out
+
+
+def unique_share(df: DataFrame, what: str, by: Sequence[str] = ()) -> DataFrame:
+    """Different values over rows with a value; null without any. Values are counted first, so a hot one costs nothing."""
+    c = df.groupBy(*by, what).agg(F.count(what).alias("_n"))
+    return c.groupBy(*by).agg(F.count(what).alias("n_unique"), F.sum("_n").alias("n")).withColumn("share", F.col("n_unique") / F.nullif(F.col("n"), F.lit(0)))

@@ -93,3 +93,20 @@ def tensors(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "shape", "pixels"])
 
     return files.select("path", "content").mapInPandas(run, "path string, shape array<int>, pixels array<double>")
+
+
+def require_all(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is asked for; an error if an asked key has no row."""
+    asked = ids.select(key).distinct()
+    lost = asked.join(df, key, "left_anti").count()
+    if lost:
+        raise LookupError(f"{lost} ids have no row")
+    return df.join(asked, key, "left_semi")
+
+
+def resolved_models(registry: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The registry (``combo_id``, ``checkpoint``) with the checkpoints that ``overrides`` (same columns) names for some of its entries."""
+    from pyspark.sql import functions as F
+
+    o = overrides.select("combo_id", F.col("checkpoint").alias("_own"))
+    return registry.join(o, "combo_id", "left").withColumn("checkpoint", F.coalesce("_own", "checkpoint")).drop("_own")

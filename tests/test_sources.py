@@ -65,3 +65,23 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda d: sorted((r.start, r.event_type, r.n, round(r.total, 6)) for r in d.collect())
     assert key(spark.table("counts")) == key(windowed_counts(ev))
     assert windowed_counts(ev).agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_required_ids_and_registry(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a", "m1"), ("b", "m2")], "combo_id string, checkpoint string")
+    assert T.require_all(df, df.filter("combo_id = 'a'"), "combo_id").count() == 1
+    with pytest.raises(LookupError, match="1 ids"):
+        T.require_all(df, spark.createDataFrame([("z",), ("a",)], "combo_id string"), "combo_id")
+    own = spark.createDataFrame([("b", "mine")], "combo_id string, checkpoint string")
+    assert rows(T.resolved_models(df, own)) == [("a", "m1"), ("b", "mine")]
+
+
+def test_short_texts_and_unique_share(spark):
+    from pairlens.functions.text import shortened
+    from pairlens.operators.metrics import unique_share
+
+    df = spark.createDataFrame([("a", "one two three"), ("a", "one"), ("a", "one"), ("b", None)], "k string, t string")
+    assert [r[0] for r in df.select(shortened(F.col("t"), 9)).collect()] == ["one two …", "one", "one", None]
+    assert sorted((r.k, r.n_unique, r.n, r.share) for r in unique_share(df, "t", ["k"]).collect()) == [("a", 2, 3, 2 / 3), ("b", 0, 0, None)]
