@@ -23,6 +23,7 @@ COPY_WORDS = 4
 # Words for the classes, which are answers of one word and no reasons.
 CLASS_WORDS = frozenset("stable decline increase uncertain fire unchanged estable descenso disminución aumento stabil rückgang zunahme diminution hausse baisse снижение рост без изменений कमी वृद्धि स्थिर".split())
 
+_LETTER = re.compile(r"[^\W_]")
 _TOKEN = re.compile(r"```|\\.|[\"{}\[\]()“”«»]", re.S)
 _FENCE = re.compile(r"```[a-zA-Z]*")
 _FIELD = re.compile(r"\"justification\"\s*:\s*(?:\"((?:[^\"\\]|\\.)*)(\"?)|null)", re.S)
@@ -86,6 +87,8 @@ _CLASS_FORMS = frozenset(_bare(w) for w in CLASS_WORDS)
 
 
 def only_class(text: str) -> bool:
+    if len(text) > 80:
+        return False
     words = _bare(text).split()
     return 0 < len(words) <= 3 and all(w in _CLASS_FORMS for w in words)
 
@@ -206,13 +209,16 @@ def is_copy(reason: str, prompt: str | None) -> tuple[bool, bool]:
     return covered.count(False) <= max(1, LOOSE_SHARE * len(a)), covered[-1]
 
 
-def reason_cut(justification: str | None, answer: Answer) -> bool:
-    """Whether a parsed reason stops before the reason that stands in the raw answer."""
-    j, r = " ".join(canonical_text(justification).split()), " ".join(canonical_text(answer.reason).split())
-    if not j or not r or len(j) >= len(r):
+def reason_cut(justification: str | None, answer: Answer, raw: str | None) -> bool:
+    """Whether a parsed reason stops before the reason, or the whole text, of the raw answer; a class tag behind it is no part."""
+    j = " ".join(canonical_text(justification).split())
+    if not j:
         return False
-    # The parser may keep the class or the field names in front of the reason; then the end counts.
-    return r.startswith(j)
+    for whole in (answer.reason, raw):
+        w = " ".join(canonical_text(whole).split())
+        if len(w) > len(j) and w.startswith(j) and _LETTER.search(_CLASS_TAG.sub(" ", w[len(j) :])):
+            return True
+    return False
 
 
 def defect_of(raw: str | None, justification: str | None, prompt: str | None, wanted: str | None) -> tuple[str | None, Answer, bool]:
@@ -228,15 +234,15 @@ def defect_of(raw: str | None, justification: str | None, prompt: str | None, wa
         return "refusal", answer, False
     if answer.open and answer.structured:
         return "truncated", answer, False
-    bare = not _bare(answer.reason) or (wanted != "short" and only_class(answer.reason))
+    bare = not _LETTER.search(answer.reason) or (wanted != "short" and only_class(answer.reason))
     if bare:
-        return (None if wanted == "short" and only_class(canonical_text(raw)) else "empty"), answer, not answer.structured and bool(_bare(answer.reason))
+        return (None if wanted == "short" and only_class(canonical_text(raw)) else "empty"), answer, not answer.structured and bool(_LETTER.search(answer.reason))
     if wanted == "short" and only_class(answer.reason):
         return None, answer, True
     copy, whole = is_copy(answer.reason, prompt)
     if copy:
         return "copied", answer, not whole
-    if answer.open or reason_cut(justification, answer):
+    if answer.open or reason_cut(justification, answer, raw):
         return "truncated", answer, False
     asked, given = language_of(prompt), language_of(answer.reason)
     if asked != "und" and given != "und" and asked != given:

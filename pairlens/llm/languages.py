@@ -14,7 +14,11 @@ FUNCTION_WORDS = {
     "fr": "le la les des du de et en une un est été que qui dans sur pour par au aux avec même si plus peu près c'est n'a autour nord ou",
     "pt": "os as do da dos das de em no na nos nas um uma que com por para se ao foi mais sem não perto junto segundo embora durante ficou mudou passou há equipe anotou permaneceu ele ela isso este esta seu sua são está foram pelo pela ao dos",
 }
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES_OF: dict[str, list[str]] = {}
+for _code, _words in FUNCTION_WORDS.items():
+    for _w in _words.split():
+        _LANGUAGES_OF.setdefault(_w, []).append(_code)
+_BEYOND, _SMALL = re.compile(r"[^\x00-\x7f]"), re.compile(r"[a-z]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?", re.UNICODE)
 # Scripts that stand for one language here.
 SCRIPT_LANGUAGE = {"CYRILLIC": "ru", "DEVANAGARI": "hi", "ARABIC": "ar", "HIRAGANA": "ja", "KATAKANA": "ja", "CJK": "zh", "HANGUL": "ko", "GREEK": "el", "HEBREW": "he", "THAI": "th"}
@@ -33,23 +37,23 @@ def language_of(text: str | None, least: int = 2) -> str:
         return "und"
     if not text.isascii():
         foreign: dict[str, int] = {}
-        latin = 0
-        for c in text:
-            if c.isalpha() and c > "\x7f":
-                s = _script(c)
-                if s in SCRIPT_LANGUAGE:
-                    foreign[s] = foreign.get(s, 0) + 1
-                else:
-                    latin += c.islower()
-            elif "a" <= c <= "z":
-                latin += 1
+        rest = ""
+        for c in _BEYOND.findall(text):
+            s = _script(c) if c.isalpha() else ""
+            if s in SCRIPT_LANGUAGE:
+                foreign[s] = foreign.get(s, 0) + 1
+            else:
+                rest += c
         if foreign:
             s = max(foreign, key=lambda k: (foreign[k], k))
             # A name or two in Latin letters stands in every such text.
-            if foreign[s] >= 4 and foreign[s] * 2 >= latin:
+            if foreign[s] >= 4 and foreign[s] * 2 >= len(_SMALL.findall(text)) + sum(map(str.islower, rest)):
                 return SCRIPT_LANGUAGE[s]
     words = _WORD.findall(text.lower())
-    scores = {k: sum(w in v for w in words) for k, v in _SETS.items()}
+    scores = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w in words:
+        for k in _LANGUAGES_OF.get(w, ()):
+            scores[k] += 1
     best = max(scores, key=lambda k: scores[k])
     rest = max(v for k, v in scores.items() if k != best)
     if scores[best] <= rest or (scores[best] < least and (rest or len(words) < 4)):

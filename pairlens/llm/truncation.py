@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,7 @@ def _word_events(p: _Packed, back: bool = False) -> tuple[np.ndarray, np.ndarray
     return start[keep], inside[keep] + 1, (inside[keep] + 1) == stop[keep]
 
 
+@lru_cache(maxsize=None)
 def _language_key(code: str) -> int:
     return int(_mix(np.array([CODES.index(code)], np.uint64), 0x1A)[0])
 
@@ -228,7 +230,7 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw, just, prompt, wanted = (b.column(n).to_pylist() for n in ("raw_text", "justification", "prompt_text", "answer_format"))
         found = [defect_of(*x) for x in zip(raw, just, prompt, wanted)]
-        texts = [canonical_text(t) for t in raw]
+        texts = [canonical_text(t) if t else "" for t in raw]
         ask = [may and not a.closed and not a.open and not a.blank for (_, a, may) in found]
         keys: list = [[] for _ in raw]
         some = [i for i, x in enumerate(ask) if x]
@@ -240,7 +242,7 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b.column("combo_id"),
                 pa.array([d for d, _, _ in found], pa.string()),
                 pa.array([a.open and d == "truncated" for d, a, _ in found], pa.bool_()),
-                pa.array([_language_key(language_of(t)) for t in texts], pa.int64()),
+                pa.array([_language_key(language_of(t)) if ks else None for t, ks in zip(texts, keys)], pa.int64()),
                 pa.array([[{"rank": r, "key": k} for r, k in ks] for ks in keys], pa.list_(pa.struct([("rank", pa.int32()), ("key", pa.int64())]))),
             ],
             ["row_id", "combo_id", "defect", "open", "language", "finals"],

@@ -123,8 +123,11 @@ def canonical_text(text: str | None) -> str:
         return ""
     if not text.isascii() or _CONTROLS.search(text):
         text = _LINE_BREAKS.sub("\n", _spliced(text))
-    text = _SPACE_RUN.sub(" ", text)
-    return _LINE_EDGE.sub("", text).strip(" \n")
+    if "  " in text or "\t" in text:
+        text = _SPACE_RUN.sub(" ", text)
+    if " \n" in text or "\n " in text:
+        text = _LINE_EDGE.sub("", text)
+    return text.strip(" \n")
 
 
 def whole_text_form(text: str) -> str:
