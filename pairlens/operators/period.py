@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.operators.quantiles import exact_quantiles
+
 
 def paired_medians(obs: DataFrame, key: str, when: Column, value: str, t0: tuple[str, str], t1: tuple[str, str]) -> DataFrame:
-    """(``key``, ``v0``, ``v1``, ``delta``): medians of two half-open windows and their difference; both windows in one pass.
+    """(``key``, ``v0``, ``v1``, ``delta``): exact medians of two half-open windows and their difference; a hot key is no burden for one task.
 
     Rows outside of the windows and null values count nothing; keys with values in one window alone have a null delta.
     """
     inside = lambda w: (when >= F.lit(w[0]).cast("timestamp")) & (when < F.lit(w[1]).cast("timestamp"))
-    o = obs.filter(inside(t0) | inside(t1))
-    g = o.groupBy(key).agg(F.median(F.when(inside(t0), F.col(value))).alias("v0"), F.median(F.when(inside(t1), F.col(value))).alias("v1"))
+    o = obs.filter(inside(t0) | inside(t1)).select(F.col(key), F.when(inside(t0), 0).otherwise(1).alias("_w"), F.col(value).alias("_x"))
+    m = exact_quantiles(o, F.col("_x"), [0.5], [key, "_w"])
+    g = m.groupBy(key).agg(F.max(F.when(F.col("_w") == 0, F.col("q0"))).alias("v0"), F.max(F.when(F.col("_w") == 1, F.col("q0"))).alias("v1"))
     return g.withColumn("delta", F.col("v1") - F.col("v0"))
 
 
@@ -38,11 +41,15 @@ def delta_summary(df: DataFrame, value: Column, band: float = 0.05, by: Sequence
     """Mean, population and sample deviation, range, exact 10th and 90th percentile, shares beyond the band; NaN and null are left out."""
     v = df.select(*by, value.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     c = F.col("v")
-    return v.groupBy(*by).agg(
+    tails = exact_quantiles(v, c, [0.1, 0.9], by).select(*by, F.round("q0", 5).alias("p10"), F.round("q1", 5).alias("p90"))
+    rest = v.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(c), 5).alias("mean"), F.round(F.stddev_pop(c), 5).alias("std_pop"), F.round(F.stddev_samp(c), 5).alias("std_samp"),
-        F.round(F.min(c), 5).alias("min"), F.round(F.max(c), 5).alias("max"), F.round(F.percentile(c, F.lit(0.1)), 5).alias("p10"), F.round(F.percentile(c, F.lit(0.9)), 5).alias("p90"),
+        F.round(F.min(c), 5).alias("min"), F.round(F.max(c), 5).alias("max"),
         F.round(F.avg((c < -band).cast("double")), 4).alias("share_below"), F.round(F.avg((c > band).cast("double")), 4).alias("share_above"),
     )
+    if not by:
+        return rest.join(F.broadcast(tails), how="left")  # one row each
+    return rest.join(tails.withColumnsRenamed({b: f"_{b}" for b in by}), [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], "left").drop(*[f"_{b}" for b in by])
 
 
 def dilution(values: Column, canvas: int) -> tuple[Column, Column]:

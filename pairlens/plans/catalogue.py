@@ -16,7 +16,9 @@ from pairlens.operators import claims as C
 from pairlens.operators import evidence as E
 from pairlens.operators import fit, geometry, inference, metrics, parse, period, raster, splits, validate
 from pairlens.operators import overlap_scores as O
+from pairlens.operators.quantiles import exact_quantiles
 from pairlens.operators.spatial import located
+from pairlens.session import materialize
 from pairlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -37,7 +39,7 @@ JAN = ("2024-01-01", "2024-01-16"), ("2024-01-16", "2024-01-31")
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    return period.paired_medians(table(spark, d, "events"), "user_id", F.col("ts"), "value", *JAN).filter("delta is not null")
+    return materialize(period.paired_medians(table(spark, d, "events"), "user_id", F.col("ts"), "value", *JAN).filter("delta is not null"), "changes")
 
 
 _CHANGES = """with m as (select user_id,
@@ -58,7 +60,7 @@ def q_scan_project_filter(spark: SparkSession, d: str) -> DataFrame:
 def q_paired_change_labels(spark: SparkSession, d: str) -> DataFrame:
     """Medians of two windows per user, their change, percentile cut-offs, labels, counts."""
     c = _changes(spark, d)
-    cut = c.agg(F.percentile("delta", F.lit(S.DECLINE_QUANTILE)).alias("lo"), F.percentile("delta", F.lit(S.INCREASE_QUANTILE)).alias("hi"))
+    cut = exact_quantiles(c, F.col("delta"), [S.DECLINE_QUANTILE, S.INCREASE_QUANTILE]).select(F.col("q0").alias("lo"), F.col("q1").alias("hi"))
     return c.join(F.broadcast(cut)).groupBy(L.two_threshold(F.col("delta"), F.col("lo"), F.col("hi")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -76,7 +78,7 @@ def q_uncertain_labels(spark: SparkSession, d: str) -> DataFrame:
     first, bad = F.col("ts") < F.lit(JAN[1][0]).cast("timestamp"), (F.col("event_type") == "error").cast("int")
     m = ev.groupBy("user_id").agg(F.avg(F.when(first, bad)).alias("e0"), F.avg(F.when(~first, bad)).alias("e1"))
     c = _changes(spark, d)
-    cut = c.agg(F.percentile("delta", F.lit(0.15)).alias("lo"), F.percentile("delta", F.lit(0.85)).alias("hi"))
+    cut = exact_quantiles(c, F.col("delta"), [0.15, 0.85]).select(F.col("q0").alias("lo"), F.col("q1").alias("hi"))
     label = L.screened_label(F.col("delta"), F.col("lo"), F.col("hi"), F.col("e0"), F.col("e1"), band=20.0)
     return c.join(m, "user_id").join(F.broadcast(cut)).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -320,7 +322,8 @@ def q_threshold_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """How many labels other percentile pairs change."""
     v = _cards(spark, d).select(F.col("NDVI").alias("v")).filter("v is not null")
     qs = [0.05, 0.10, 0.15, 0.20, 0.25]
-    cut = v.agg(F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("lo"), F.percentile("v", F.array(*[F.lit(1 - q) for q in qs])).alias("hi"))
+    n = len(qs)
+    cut = exact_quantiles(v, F.col("v"), [*qs, *[1 - q for q in qs]]).select(F.array(*[f"q{i}" for i in range(n)]).alias("lo"), F.array(*[f"q{i}" for i in range(n, 2 * n)]).alias("hi"))
     rule = lambda i: L.two_threshold(F.col("v"), F.col("lo")[i], F.col("hi")[i])
     sums = [x for i in range(len(qs)) for x in (F.sum((rule(i) != rule(2)).cast("long")).alias(f"c{i}"), F.sum((rule(i) == "decline").cast("long")).alias(f"d{i}"), F.sum((rule(i) == "increase").cast("long")).alias(f"i{i}"))]
     g = v.join(F.broadcast(cut)).agg(F.count(F.lit(1)).alias("n"), *sums)

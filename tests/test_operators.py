@@ -239,3 +239,23 @@ def test_validation(spark):
     assert validate.verdict(spark.createDataFrame([("a", "pass"), ("b", "warn")], "name string, status string")).first().ready
     r = validate.id_sync(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,), (3,)], "k int"), "k").first()
     assert (r.only_left, r.only_right, r.both, r.equal) == (1, 1, 1, False)
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_exact_quantiles(spark, accuracy, monkeypatch):
+    from pairlens.operators.quantiles import exact_quantiles
+
+    rng = random.Random(9)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([rng.gauss(0, 1), round(rng.gauss(0, 1), 1), 5.0])) for _ in range(3000)] + [("c", None), ("c", float("nan")), ("d", 1.0), ("e", 1.0), ("e", 2.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    qs = [0.0, 0.1, 0.5, 0.85, 1.0]
+    for limit in (200_000, 0):
+        monkeypatch.setattr("pairlens.operators.quantiles.BROADCAST_ROWS", limit)
+        got = {r.k: r for r in exact_quantiles(df, F.col("v"), qs, ["k"], accuracy).collect()}
+        assert set(got) == {"a", "b", None, "d", "e"}
+        for k, r in got.items():
+            xs = [v for g, v in data if g == k]
+            assert r.n == len(xs) and np.allclose([r[f"q{i}"] for i in range(5)], np.quantile(xs, qs))
+        whole = exact_quantiles(df, F.col("v"), qs, (), accuracy).first()
+        assert np.allclose([whole[f"q{i}"] for i in range(5)], np.nanquantile([v for _, v in data if v is not None], qs))
+        assert exact_quantiles(df.limit(0), F.col("v"), qs, (), accuracy).count() == 0
