@@ -13,19 +13,24 @@ from pairlens.schemas import MODEL_CLASSES
 def threshold_fit(df: DataFrame, value: str, low_below: float = 0.01) -> DataFrame:
     """The two cut-offs (``lo`` < ``hi``, ``lo`` < ``low_below``) among the values that give the most hits, as one row with ties.
 
-    ``value`` must be rounded to coarse steps: rows are first counted by value and class, prefix sums over the distinct values
-    give each candidate's part, and only distinct values are paired. Ties go to the smaller lo, then hi; ``n_best`` counts them.
+    ``value`` must be rounded to coarse steps: rows are first counted by value and class, and running sums and maxima over the
+    distinct values find the best pair without forming pairs. Ties go to the smaller lo, then hi; ``n_best`` counts them.
     Null values and golds are left out; without a candidate pair there is no row.
     """
     c = df.filter(F.col(value).isNotNull() & F.col("gold").isNotNull()).groupBy(F.col(value).alias("v")).agg(*[F.sum((F.col("gold") == k).cast("long")).alias(k) for k in ("decline", "stable", "increase")], F.count(F.lit(1)).alias("n"))
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # distinct steps of the scale, not rows
-    p = c.select("v", *[F.sum(k).over(up).alias(f"upto_{k}") for k in ("decline", "stable", "increase")], *[F.col(k) for k in ("stable", "increase")])
-    total = c.agg(F.sum("increase").alias("all_increase"), F.sum("n").alias("n"))
-    lo = p.filter(F.col("v") < low_below).select(F.col("v").alias("lo"), F.col("upto_decline"), F.col("upto_stable").alias("stable_to_lo"))
-    hi = p.select(F.col("v").alias("hi"), (F.col("upto_stable") - F.col("stable")).alias("stable_under_hi"), (F.col("upto_increase") - F.col("increase")).alias("increase_under_hi"))
-    pairs = lo.join(hi, F.col("lo") < F.col("hi")).join(F.broadcast(total))
-    hits = F.col("upto_decline") + (F.col("stable_under_hi") - F.col("stable_to_lo")) + (F.col("all_increase") - F.col("increase_under_hi"))
-    best = pairs.groupBy(hits.alias("hits")).agg(F.min(F.struct("lo", "hi")).alias("b"), F.count(F.lit(1)).alias("n_best"), F.first("n").alias("n"))
+    steps = Window.orderBy("v")  # distinct steps of the scale, not rows
+    to_here, before = steps.rowsBetween(Window.unboundedPreceding, 0), steps.rowsBetween(Window.unboundedPreceding, -1)
+    under = lambda k: F.coalesce(F.sum(k).over(before), F.lit(0))
+    total = c.agg(F.sum("increase").alias("all_increase"), F.sum("n").alias("n_all"))  # one row
+    # A pair's hits are the part of lo (declines up to it less stables up to it) and the part of hi (stables under it and increases from it on).
+    p = c.withColumn("part_lo", F.when(F.col("v") < low_below, F.sum("decline").over(to_here) - F.sum("stable").over(to_here))).join(F.broadcast(total))
+    p = p.withColumn("part_hi", under("stable") + F.col("all_increase") - under("increase"))
+    # The best lo under each hi is a running maximum; its first place and the number of its equals come along.
+    p = p.withColumn("top", F.max("part_lo").over(to_here)).withColumn("tie", F.col("part_lo") == F.col("top"))
+    same = Window.partitionBy("top").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("first_lo", F.min(F.when(F.col("tie"), F.col("v"))).over(same)).withColumn("ties", F.sum(F.col("tie").cast("long")).over(same))
+    p = p.select("v", "part_hi", "n_all", *[F.lag(k).over(steps).alias(k) for k in ("top", "first_lo", "ties")]).filter(F.col("top").isNotNull())
+    best = p.groupBy((F.col("top") + F.col("part_hi")).alias("hits")).agg(F.min(F.struct(F.col("first_lo").alias("lo"), F.col("v").alias("hi"))).alias("b"), F.sum("ties").alias("n_best"), F.first("n_all").alias("n"))
     return best.orderBy(F.desc("hits")).limit(1).select(F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"), "hits", "n", "n_best")
 
 

@@ -69,8 +69,14 @@ def visible(scene_class: Column) -> Column:
 
 def composite(obs: DataFrame, keys: Sequence[str], values: Sequence[str], keep: Column | None = None, how: str = "median") -> DataFrame:
     """Medians, sums or means of ``values`` by ``keys`` over the observations that ``keep`` admits; null values count nothing."""
-    agg = {"median": F.median, "sum": F.sum, "mean": F.avg}[how]
     o = obs if keep is None else obs.filter(keep)
+    if how == "median":
+        out = o.select(*keys).distinct()
+        for v in values:
+            m = exact_quantiles(o, F.col(v), [0.5], keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("q0").alias(v))
+            out = out.join(m, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+        return out
+    agg = {"sum": F.sum, "mean": F.avg}[how]
     return o.groupBy(*keys).agg(*[agg(v).alias(v) for v in values])
 
 

@@ -349,7 +349,7 @@ def q_class_flips(spark: SparkSession, d: str) -> DataFrame:
     """Label flips, correlation and differences of two measurements."""
     r = _cards(spark, d).filter("NDVI is not null and EVI is not null")
     a, b = F.col("NDVI"), F.col("EVI")
-    return r.agg(F.count(F.lit(1)).alias("n"), F.sum((L.two_threshold(a) != L.two_threshold(b)).cast("long")).alias("flips"), F.round(F.corr(a, b), 8).alias("corr"), F.round(F.max(F.abs(a - b)), 8).alias("max_abs_diff"), F.round(F.median(a - b), 8).alias("median_diff"))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.sum((L.two_threshold(a) != L.two_threshold(b)).cast("long")).alias("flips"), F.round(F.corr(a, b), 8).alias("corr"), F.round(F.max(F.abs(a - b)), 8).alias("max_abs_diff")).join(F.broadcast(exact_quantiles(r, a - b, [0.5]).select(F.round("q0", 8).alias("median_diff"))), how="left")
 
 
 @query("""with e as (select case label % 3 when 0 then 'stable' when 1 then 'decline' else 'increase' end as gold, embedding[1]::double as s, embedding[2]::double as d, embedding[3]::double as i from embeddings where label is not null),

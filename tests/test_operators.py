@@ -259,3 +259,25 @@ def test_exact_quantiles(spark, accuracy, monkeypatch):
         whole = exact_quantiles(df, F.col("v"), qs, (), accuracy).first()
         assert np.allclose([whole[f"q{i}"] for i in range(5)], np.nanquantile([v for _, v in data if v is not None], qs))
         assert exact_quantiles(df.limit(0), F.col("v"), qs, (), accuracy).count() == 0
+
+
+def test_threshold_fit_counts_ties(spark):
+    rng = random.Random(12)
+    for _ in range(4):
+        data = [(round(rng.uniform(-0.04, 0.04), 2), rng.choice(["decline", "stable", "increase"])) for _ in range(rng.randint(2, 25))]
+        vs = sorted({v for v, _ in data})
+        hits = {(lo, hi): sum(g == ("decline" if v <= lo else "increase" if v >= hi else "stable") for v, g in data) for lo in vs if lo < 0.01 for hi in vs if hi > lo}
+        r = fit.threshold_fit(spark.createDataFrame(data, "v double, gold string"), "v").first()
+        if not hits:
+            assert r is None
+            continue
+        top = max(hits.values())
+        assert (r.hits, r.n, r.n_best, (r.lo, r.hi)) == (top, len(data), sum(h == top for h in hits.values()), min(k for k, h in hits.items() if h == top))
+
+
+def test_composites(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 3.0), ("a", "y", 100.0), ("b", None, 7.0), (None, "x", 2.0)], "k string, o string, v double")
+    got = {r.k: r.v for r in period.composite(df, ["k"], ["v"]).collect()}
+    assert got == {"a": 3.0, "b": 7.0, None: 2.0}
+    assert {r.k: r.v for r in period.radar_composite(df.filter("k = 'a'"), ["k"], ["v"], "o").collect()} == {"a": 2.0}
+    assert {r.k: r.v for r in period.composite(df, ["k"], ["v"], F.col("v") < 50, "sum").collect()} == {"a": 4.0, "b": 7.0, None: 2.0}
