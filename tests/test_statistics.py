@@ -35,7 +35,7 @@ def test_mcnemar_is_exact(spark):
 
 
 def test_holm_of_nine(spark):
-    b_c = [("leak_primary", 18, 5), ("leak_secondary", 18, 5), ("llava_vs_const", 16, 11), ("cl_matched", 2, 0), ("cl_const", 20, 19), ("el_matched", 13, 3), ("el_const", 17, 2), ("sp_a", 15, 21), ("sp_b", 0, 0)]
+    b_c = [("leak_primary", 18, 5), ("leak_secondary", 18, 5), ("a_vs_const", 16, 11), ("cl_matched", 2, 0), ("cl_const", 20, 19), ("el_matched", 13, 3), ("el_const", 17, 2), ("sp_a", 15, 21), ("sp_b", 0, 0)]
     df = spark.createDataFrame(b_c, "test string, b long, c long").withColumn("p", mcnemar_p(F.col("b"), F.col("c"))).withColumn("family", F.lit("main"))
     got = {r.test: r.p_holm for r in holm(df, "family", "p", "test").collect()}
     assert round(got["leak_primary"], 4) == 0.0850 and round(got["leak_secondary"], 4) == 0.0850
