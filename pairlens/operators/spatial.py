@@ -1,6 +1,6 @@
 """Points near other points or inside regions, by grid cells sized to the radius and an exact check.
 
-Bands of latitude are one radius high; each band is cut into equal cells of longitude that are at least one radius wide at
+Bands of latitude are two radii high; each band is cut into equal cells of longitude that are at least two radii wide at
 the band's poleward edge. A point is found from the few cells that its circle touches, so neither the poles nor the 180th
 meridian need a special case, and every stage is an equi-join.
 """
@@ -16,6 +16,8 @@ from pairlens.operators.skew import salted_join
 
 #: Mean Earth radius in metres (fixed value).
 EARTH_RADIUS_M = 6_371_008.8
+#: Side of a cell in radii: at 2 a circle touches two to three cells, at 1 it would touch four to nine.
+CELL_RADII = 2.0
 #: Points of one grid cell that one task may hold before the cell is split.
 HOT_CELL_ROWS = 4_000
 
@@ -33,12 +35,13 @@ def great_circle_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Co
 
 
 class BandGrid:
-    """Cells of at least ``radius_m`` on each side, as column expressions."""
+    """Cells of at least ``CELL_RADII`` radii on each side, as column expressions."""
 
     def __init__(self, radius_m: float) -> None:
         # A little more than the radius, so that rounding never separates a pair at the very limit.
         self.angle = radius_m * 1.000001 / EARTH_RADIUS_M
-        self.height = degrees(self.angle)
+        self.radius = degrees(self.angle)
+        self.height = self.radius * CELL_RADII
         self.bands = int(ceil(180 / self.height))
 
     def band(self, lat: Column) -> Column:
@@ -60,23 +63,25 @@ class BandGrid:
         """``df`` with one row for each cell that the circle around a point touches.
 
         ``forward``: only the own band from the own cell eastward, and the next band; enough to find each pair of one
-        set from one of its ends.
+        set from one of its ends. A neighbouring band is searched only where the circle reaches it.
         """
         x, y = F.col(lon), F.col(lat)
-        reach = F.when(F.abs(y) + self.height >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(sin(self.angle)) / F.cos(F.radians(y))))))
+        reach = F.when(F.abs(y) + self.radius >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(sin(self.angle)) / F.cos(F.radians(y))))))
         own = self.band(y)
 
-        def run(band: Column, west: Column) -> Column:
+        def run(band: Column, west: Column, touched: Column | None = None) -> Column:
             n = self.cells_in(band)
             first = F.floor((x - west + 180) / 360 * n).cast("long")
             last = F.least(F.floor((x + reach + 180) / 360 * n).cast("long"), first + n - 1)
             cells = F.transform(F.sequence(first, last), lambda c: F.struct(band.alias("_band"), F.pmod(c, n).alias("_cell")))
             inside = (band >= 0) & (band < self.bands)
+            inside = inside if touched is None else inside & touched
             return F.when(inside, cells).otherwise(F.slice(cells, 1, 0))
 
         # A circle that reaches around a pole may lie on both sides of the own cell; it is searched in full.
         west = F.when(reach >= 180, reach).otherwise(F.lit(0.0)) if forward else reach
-        runs = [run(own, west), run(own + 1, reach)] + ([] if forward else [run(own - 1, reach)])
+        above, below = self.band(y + self.radius) > own, self.band(y - self.radius) < own
+        runs = [run(own, west), run(own + 1, reach, above)] + ([] if forward else [run(own - 1, reach, below)])
         return df.withColumn("_at", F.explode(F.array_distinct(F.concat(*runs)))).select(*df.columns, F.col("_at._band").alias("_band"), F.col("_at._cell").alias("_cell"))
 
 
