@@ -67,23 +67,29 @@ def targets(mix: DataFrame) -> DataFrame:
     return mix.select("mix_id", F.col("study_area").alias("mix_area"), "sample_rows", clean_word(F.col("candidate_class")).alias("candidate_class"), "target_share", "min_rows", F.greatest(part, F.coalesce(F.col("min_rows"), F.lit(0)).cast("long")).alias("need"))
 
 
-def mix_pool(rows: DataFrame, mix: DataFrame) -> DataFrame:
-    """(``mix_id``, ``candidate_class``, ``patch``, ``study_area``, ``trend``): once for each patch that a row of the mix's area names so.
+def folded_pools(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows folded to (``patch``, ``candidate_class``, ``study_area``, ``trend``), once per area and once over all areas.
 
-    ``rows`` needs ``patch``, ``candidate_class`` (cleaned), ``study_area`` and ``trend``. Rows without patch or class supply nothing;
-    a null area is found only by mixes of all areas. Of a patch that comes with several areas or trends the least ones are kept.
-    Rows are folded to one per patch with its few (class, area) pairs, which is the only shuffle of rows.
+    ``rows`` needs these four, the class cleaned. Rows without patch or class supply nothing. Of several areas or trends the
+    least ones are kept.
     """
     p = rows.filter(F.col("patch").isNotNull() & F.col("candidate_class").isNotNull())
-    pair = F.struct("candidate_class", "study_area", "trend")
-    named = p.groupBy("patch").agg(F.collect_set(pair).alias("named"))
-    each = F.explode(F.array_distinct(F.transform("named", lambda x: x["candidate_class"])))
-    of = named.select("patch", "named", each.alias("candidate_class"))
-    wanted = mix.select("mix_id", "mix_area", "candidate_class").distinct()
-    inside = F.filter("named", lambda x: (x["candidate_class"] == F.col("candidate_class")) & (F.col("mix_area").isNull() | F.coalesce(x["study_area"] == F.col("mix_area"), F.lit(False))))
-    least = lambda f: F.array_min(F.transform("inside", lambda x: F.coalesce(x[f], F.lit(""))))
-    met = of.join(small_or_not(wanted), "candidate_class").withColumn("inside", inside).filter(F.size("inside") > 0)
-    return met.select("mix_id", "candidate_class", "patch", least("study_area").alias("study_area"), least("trend").alias("trend"))
+    per_area = materialize(p.groupBy("patch", "candidate_class", "study_area").agg(F.min("trend").alias("trend")), "per-area")
+    anywhere = materialize(per_area.groupBy("patch", "candidate_class").agg(F.min("study_area").alias("study_area"), F.min("trend").alias("trend")), "anywhere")
+    return per_area, anywhere
+
+
+def mix_pool(pools: tuple[DataFrame, DataFrame], mix: DataFrame) -> DataFrame:
+    """(``mix_id``, ``candidate_class``, ``patch``, ``study_area``, ``trend``): once for each patch that a row of the mix's area names so.
+
+    A null area of a row is found only by mixes of all areas.
+    """
+    per_area, anywhere = pools
+    wanted = materialize(mix.select("mix_id", "mix_area", "candidate_class").distinct(), "wanted")
+    here = small_or_not(wanted.filter("mix_area is not null").withColumnRenamed("mix_area", "study_area"))
+    everywhere = small_or_not(wanted.filter("mix_area is null").drop("mix_area"))
+    keep = ["mix_id", "candidate_class", "patch", F.coalesce("study_area", F.lit("")).alias("study_area"), F.coalesce("trend", F.lit("")).alias("trend")]
+    return per_area.join(here, ["study_area", "candidate_class"]).select(keep).unionByName(anywhere.join(everywhere, "candidate_class").select(keep))
 
 
 def raked_sample(rows: DataFrame, mix: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +105,8 @@ def raked_sample(rows: DataFrame, mix: DataFrame, seed: int = SEED) -> tuple[Dat
     """
     want = materialize(targets(mix), "targets")
     most = want.agg(F.coalesce(F.max("need"), F.lit(0))).first()[0]
-    pool = mix_pool(rows, want)
+    pools = folded_pools(rows)
+    pool = mix_pool(pools, want)
     cells = materialize(pool.groupBy("mix_id", "candidate_class", "study_area", "trend").agg(F.count(F.lit(1)).alias("n")), "cells")
     supply = cells.groupBy("mix_id", "candidate_class").agg(F.sum("n").alias("supply"))
     plan = materialize(want.join(supply, ["mix_id", "candidate_class"], "left").withColumn("supply", F.coalesce("supply", F.lit(0))), "plan")
@@ -112,9 +119,12 @@ def raked_sample(rows: DataFrame, mix: DataFrame, seed: int = SEED) -> tuple[Dat
     keyed = pool.join(small_or_not(weights), ["mix_id", "candidate_class", "study_area", "trend"])
     # Cells that the margins want 0 times come last instead of never, so that minimums can still be met.
     keyed = keyed.withColumn("draw_key", -F.log(uniform) / F.greatest(F.col("weight"), F.lit(1e-12)))
-    # The pool is laid out by patch, so this takes no shuffle.
+    # Only patches of several classes can be drawn twice in a mix.
+    several = small_or_not(materialize(pools[1].groupBy("patch").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("patch"), "several"))
     once = Window.partitionBy("mix_id", "patch").orderBy(F.col("supply") / F.greatest(F.col("need"), F.lit(1)), "candidate_class")
-    keyed = keyed.withColumn("_turn", F.row_number().over(once)).filter("_turn = 1").select("mix_id", "candidate_class", "patch", "draw_key", "need")
+    chosen = keyed.join(several, "patch", "left_semi").withColumn("_turn", F.row_number().over(once)).filter("_turn = 1").drop("_turn")
+    columns = ["mix_id", "candidate_class", "patch", "draw_key", "need"]
+    keyed = keyed.join(several, "patch", "left_anti").select(columns).unionByName(chosen.select(columns))
     sliced = keyed.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
     in_slice = Window.partitionBy("mix_id", "candidate_class", "_slice").orderBy("draw_key", "patch")
     few = sliced.withColumn("_place", F.row_number().over(in_slice)).filter(F.col("_place") <= F.lit(int(most)))
