@@ -367,3 +367,10 @@ def test_queries_have_the_asked_columns(spark):
     want = {"p1_found": ["row_id"], "p2_found": ["mix_id", "candidate_class"], "p3_found": ["block_a", "block_b"], "p4_found": ["row_id", "defect"], "p6_found": ["rec_a", "rec_b"], "p7_ids": ["doc_id", "ids"], "p8_found": ["doc_id", "item_id"], "p9_found": ["doc_a", "doc_b"]}
     for name, columns in want.items():
         assert QUERIES[name](spark, SMALL).columns == columns
+
+
+def test_a_unit_that_holds_nearly_all(spark):
+    units = spark.createDataFrame([("big", 5000)] + [(f"u{i}", 1) for i in range(40)], "unit string, size long")
+    n = {r.split: r["sum(size)"] for r in group_splits.grouped_split(units).groupBy("split").sum("size").collect()}
+    assert n == {"train": 5000, "dev": 20, "test": 20}
+    assert group_splits.grouped_split(units.filter("size > 1")).collect()[0].split == "train"
