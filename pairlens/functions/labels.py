@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from pairlens import schemas as S
 
 
+# The rule in words for no change, a fall, a rise and neither; cut-offs of the trend words (change, share of pixels); synonyms.
+HINTS = ("Use NDVI trend only; if unclear, answer stable.", "NDVI Δ ≤ −0.02 → decline.", "NDVI Δ ≥ +0.02 → increase.", "NDVI Δ between −0.02 and +0.02 → stable.")
+STRONG_FALL, FALL, SLIGHT_RISE, RISE, TREND_SHARE = -0.04, -0.02, 0.01, 0.02, 0.08
+DECLINE_WORDS = ("decrease", "decreasing", "decreased", "loss", "negative", "declining")
+INCREASE_WORDS = ("increasing", "increased", "gain", "growth", "positive")
+STABLE_WORDS = ("unchanged", "no_change", "no-change", "same", "neutral")
+
+
 def two_threshold(v: Column, low: Column | float = S.RULE_LOW, high: Column | float = S.RULE_HIGH) -> Column:
     """decline at ``low`` or under, increase at ``high`` or over, else stable; decline is tested first. Null stays null."""
     low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
@@ -24,13 +32,16 @@ def screened_label(v: Column, low: Column, high: Column, masked_before: Column,
 
 def hint_text(v: Column) -> Column:
     """The rule in words for a change of NDVI."""
-    return F.when(v.isNull(), "Use NDVI trend only; if unclear, answer stable.").when(v <= S.RULE_LOW, "NDVI Δ ≤ −0.02 → decline.").when(v >= S.RULE_HIGH, "NDVI Δ ≥ +0.02 → increase.").otherwise("NDVI Δ between −0.02 and +0.02 → stable.")
+    return F.when(v.isNull(), HINTS[0]).when(v <= S.RULE_LOW, HINTS[1]).when(v >= S.RULE_HIGH, HINTS[2]).otherwise(HINTS[3])
 
 
 def trend_word(delta: Column, share_down: Column, share_up: Column) -> Column:
     """Five levels from the change and the shares of pixels that fell or rose; a null share counts as 0."""
     down, up = F.coalesce(share_down, F.lit(0.0)), F.coalesce(share_up, F.lit(0.0))
-    return F.when((delta <= -0.04) & (down >= 0.08), "strong_decline").when(delta <= -0.02, "moderate_decline").when((delta >= 0.02) & (up >= 0.08), "greening").when(delta >= 0.01, "slight_greening").otherwise("stable")
+    return (
+        F.when((delta <= STRONG_FALL) & (down >= TREND_SHARE), "strong_decline").when(delta <= FALL, "moderate_decline")
+        .when((delta >= RISE) & (up >= TREND_SHARE), "greening").when(delta >= SLIGHT_RISE, "slight_greening").otherwise("stable")
+    )
 
 
 def trend_class(word: Column) -> Column:
@@ -53,7 +64,7 @@ def class_token(word: Column) -> Column:
     w = F.trim(F.lower(word))
     return (
         F.when(w.isin("stable", "decline", "increase"), w)
-        .when(w.isin("decrease", "decreasing", "decreased", "loss", "negative", "declining"), "decline")
-        .when(w.isin("increasing", "increased", "gain", "growth", "positive"), "increase")
-        .when(w.isin("unchanged", "no_change", "no-change", "same", "neutral"), "stable")
+        .when(w.isin(*DECLINE_WORDS), "decline")
+        .when(w.isin(*INCREASE_WORDS), "increase")
+        .when(w.isin(*STABLE_WORDS), "stable")
     )
