@@ -197,20 +197,27 @@ def tiled(answer: list[str], source: list[str], least: int = TILE_WORDS) -> list
 
 def is_copy(reason: str, prompt: str | None) -> tuple[bool, bool]:
     """(whether a reason is a copy of its prompt, whether its last word is part of the copy)."""
-    a, p = plain_words(reason), plain_words(prompt)
-    if len(a) < COPY_WORDS or not p:
+    a, source = plain_words(reason), canonical_text(prompt).casefold()
+    if len(a) < COPY_WORDS or not source:
         return False, False
+    most = max(1, LOOSE_SHARE * len(a))
+    # A word that isn't in the prompt's characters isn't among its words, unless marks stand inside of them.
+    if "<" not in source and "&" not in source and len(a) - sum(map(source.__contains__, a)) > most:
+        return False, False
+    p = plain_words(prompt)
     known = {tuple(p[i : i + TILE_WORDS]) for i in range(len(p) - TILE_WORDS + 1)}
     shared = sum(tuple(a[i : i + TILE_WORDS]) in known for i in range(len(a) - TILE_WORDS + 1))
     # A copy's tiles hold 90 % of its words, and each tile of L words L - 1 of these runs: fewer can't make a copy.
     if shared * 4 < len(a) - 4:
         return False, False
     covered = tiled(a, p)
-    return covered.count(False) <= max(1, LOOSE_SHARE * len(a)), covered[-1]
+    return covered.count(False) <= most, covered[-1]
 
 
 def reason_cut(justification: str | None, answer: Answer, raw: str | None) -> bool:
     """Whether a parsed reason stops before the reason, or the whole text, of the raw answer; a class tag behind it is no part."""
+    if not justification or justification == raw or justification == answer.reason:
+        return False
     j = " ".join(canonical_text(justification).split())
     if not j:
         return False

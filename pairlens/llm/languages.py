@@ -18,6 +18,7 @@ _LANGUAGES_OF: dict[str, list[str]] = {}
 for _code, _words in FUNCTION_WORDS.items():
     for _w in _words.split():
         _LANGUAGES_OF.setdefault(_w, []).append(_code)
+_APART = {i: " " for i in range(128) if not chr(i).isalpha() and chr(i) != "'"}
 _BEYOND, _SMALL = re.compile(r"[^\x00-\x7f]"), re.compile(r"[a-z]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?", re.UNICODE)
 # Scripts that stand for one language here.
@@ -49,7 +50,7 @@ def language_of(text: str | None, least: int = 2) -> str:
             # A name or two in Latin letters stands in every such text.
             if foreign[s] >= 4 and foreign[s] * 2 >= len(_SMALL.findall(text)) + sum(map(str.islower, rest)):
                 return SCRIPT_LANGUAGE[s]
-    words = _WORD.findall(text.lower())
+    words = text.lower().translate(_APART).split() if text.isascii() else _WORD.findall(text.lower())
     scores = dict.fromkeys(FUNCTION_WORDS, 0)
     for w in words:
         for k in _LANGUAGES_OF.get(w, ()):
