@@ -310,10 +310,19 @@ p as (select a.v as lo, b.v as hi from v a join v b on a.v < b.v where a.v < 0.0
 h as (select lo, hi, count(*) filter (gold = case when r.v <= lo then 'decline' when r.v >= hi then 'increase' else 'stable' end) as hits from p, r group by 1, 2)
 select lo, hi, hits, (select count(*) from r) as n, (select count(*) from h where hits = (select max(hits) from h)) as n_best from h order by hits desc, lo, hi limit 1""")
 def q_threshold_fit(spark: SparkSession, d: str) -> DataFrame:
-    """The two cut-offs of the change of NDVI that fit the gold labels best."""
+    """The two cut-offs of the change of NDVI that fit the gold labels best, in steps of 0.01 as its SQL says; `q_threshold_fit_exact` fits the values."""
     return fit.threshold_fit(_cards(spark, d).withColumn("v", F.round("NDVI", 2)), "v")
 
 
+@query(f"""with r as (select {_DN} as v, gold, count(*) as m from predictions_explain where gold is not null and {_DN} is not null group by 1, 2), v as (select distinct v from r),
+p as (select a.v as lo, b.v as hi from v a join v b on a.v < b.v where a.v < 0.01),
+h as (select lo, hi, coalesce(sum(m) filter (gold = case when r.v <= lo then 'decline' when r.v >= hi then 'increase' else 'stable' end), 0)::bigint as hits from p, r group by 1, 2)
+select lo, hi, hits, (select sum(m)::bigint from r) as n, (select count(*) from h where hits = (select max(hits) from h)) as n_best from h order by hits desc, lo, hi limit 1""")
+def q_threshold_fit_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same cut-offs over the changes as the prompts give them."""
+    return fit.threshold_fit(_cards(spark, d), "NDVI")
+
+
 @query(f"""with r as (select {_DN} as v, gold from predictions_explain where {_DN} is not null), c as (select 0.05::double as q, quantile_cont(v, 0.05) as lo, quantile_cont(v, 0.95) as hi from r union all select 0.1::double as q, quantile_cont(v, 0.1) as lo, quantile_cont(v, 0.9) as hi from r union all select 0.15::double as q, quantile_cont(v, 0.15) as lo, quantile_cont(v, 0.85) as hi from r union all select 0.2::double as q, quantile_cont(v, 0.2) as lo, quantile_cont(v, 0.8) as hi from r union all select 0.25::double as q, quantile_cont(v, 0.25) as lo, quantile_cont(v, 0.75) as hi from r),
 b as (select lo as lo0, hi as hi0 from c where q = 0.15)
 select q, count(*) as n, count(*) filter (case when v <= lo then 'decline' when v >= hi then 'increase' else 'stable' end <> case when v <= lo0 then 'decline' when v >= hi0 then 'increase' else 'stable' end) as changed,
