@@ -65,7 +65,8 @@ def near_duplicates(df: DataFrame, key: str, text: Column, by: Sequence[str] = (
     Equal token lists are folded first (each is a near duplicate of the others, if it has a token). Different ones can only
     pass the cutoff if they share a rare word: of the words in order of rarity, counted with repeats, one of the first
     n - ceil(n * cutoff / (2 - cutoff)) + 1. Candidates meet on these words, so no pair is lost and none is formed without
-    a shared one; the exact score decides.
+    a shared one; pairs that can't have enough words in common, by the number and places of those met, go before their texts
+    are fetched, and the exact score decides.
     """
     group = F.to_json(F.struct(*by)) if by else F.lit("")  # a null is a group of its own
     t = df.select(*by, F.col(key).alias("_key"), group.alias("_g"), tokens(text).alias("_t"))
@@ -77,10 +78,14 @@ def near_duplicates(df: DataFrame, key: str, text: Column, by: Sequence[str] = (
     ranked = salted_join(nth, freq, ["_g", "_w"], F.col("_rep")).withColumn("_place", F.row_number().over(Window.partitionBy("_g", "_rep").orderBy("_df", "_w")))
     share = cutoff / (2 - cutoff)
     prefix = materialize(ranked.filter(F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(share) - F.lit(1e-9)) + 1), "prefix")
-    a = prefix.select("_g", "_w", F.col("_rep").alias("_a"), F.col("_n").alias("_na"))
-    b = prefix.select("_g", "_w", F.col("_rep").alias("_b"), F.col("_n").alias("_nb"))
+    a = prefix.select("_g", "_w", F.col("_rep").alias("_a"), F.col("_n").alias("_na"), F.col("_place").alias("_ia"))
+    b = prefix.select("_g", "_w", F.col("_rep").alias("_b"), F.col("_n").alias("_nb"), F.col("_place").alias("_ib"))
     near_size = (F.col("_na") >= F.col("_nb") * F.lit(share) - 1e-9) & (F.col("_nb") >= F.col("_na") * F.lit(share) - 1e-9)
-    pairs = salted_join(b, a, ["_g", "_w"], F.col("_b")).filter((F.col("_a") < F.col("_b")) & near_size).select("_g", "_a", "_b").distinct()
+    met = salted_join(b, a, ["_g", "_w"], F.col("_b")).filter((F.col("_a") < F.col("_b")) & near_size).groupBy("_g", "_a", "_b", "_na", "_nb").agg(F.count(F.lit(1)).alias("_k"), F.min("_ia").alias("_ia"), F.min("_ib").alias("_ib"))
+    # A pair's common words are at most those met and the words behind one of its prefixes, and none of either text stands before the first one met.
+    behind = F.greatest(F.ceil(F.col("_na") * F.lit(share) - F.lit(1e-9)), F.ceil(F.col("_nb") * F.lit(share) - F.lit(1e-9))) - 1
+    most = F.least(F.col("_k") + behind, 1 + F.col("_na") - F.col("_ia"), 1 + F.col("_nb") - F.col("_ib"))
+    pairs = met.filter(2 * most >= (F.col("_na") + F.col("_nb")) * F.lit(cutoff) - 1e-9).select("_g", "_a", "_b")
     texts = folded.select("_g", "_rep", "_t")
     scored = pairs.join(texts.withColumnsRenamed({"_rep": "_a", "_t": "_ta"}), ["_g", "_a"]).join(texts.withColumnsRenamed({"_rep": "_b", "_t": "_tb"}), ["_g", "_b"]).filter(_rouge(F.col("_ta"), F.col("_tb")) > cutoff)
     hits = scored.select("_g", F.explode(F.array("_a", "_b")).alias("_rep")).distinct().withColumn("_hit", F.lit(True))

@@ -25,3 +25,19 @@ def test_thresholds_are_fitted_on_three_decimals(spark, tmp_path):
     r = QUERIES["q_threshold_fit_exact"](spark, str(tmp_path)).first()
     assert (r.hits, r.n, r.n_best, (r.lo, r.hi)) == (top, len(pairs), sum(h == top for h in hits.values()), min(k for k, h in hits.items() if h == top))
     assert QUERIES["q_threshold_fit"](spark, str(tmp_path)).first().hits < top
+
+
+def test_near_duplicates_of_every_run_are_found(spark):
+    from itertools import groupby
+
+    from pairlens.functions.text import justification, tokens
+    from pairlens.operators.overlap_scores import _f1
+    from tests.conftest import SMALL
+
+    p = spark.read.parquet(f"{SMALL}/predictions_explain.parquet")
+    texts = sorted((r.run, r.t) for r in p.select(p["combo_id"].alias("run"), tokens(justification(p["parsed"], p["raw_text"])).alias("t")).collect())
+    want = {}
+    for run, g in groupby(texts, lambda x: x[0]):
+        ts = [t for _, t in g]
+        want[run] = (len(ts), sum(any(i != j and _f1(a, b) > 0.9 for j, b in enumerate(ts)) for i, a in enumerate(ts)) / len(ts))
+    assert {r.run: (r.n, r.share) for r in QUERIES["q_near_dup"](spark, SMALL).collect()} == want and sum(n for n, _ in want.values()) == p.count()
