@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens import schemas as S
@@ -16,6 +16,7 @@ from pairlens.operators import geometry, inference, metrics, period
 from pairlens.operators.permutation import same_label_test
 from pairlens.operators.spatial import located
 from pairlens.plans.catalogue import _CLEAN, _DN, _LOC, _NUM, PAIRS, _cards, _preds
+from pairlens.session import materialize
 from pairlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -75,10 +76,12 @@ def q_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_permutation(spark: SparkSession, d: str) -> DataFrame:
-    """Whether dev patches and their nearest neighbours share classes more often than chance (random: no SQL)."""
-    t = table(spark, d, "dev_patches").filter(located(F.col("lon"), F.col("lat")))
-    p = t.select(F.col("rec_id").alias("id"), clean_word(F.col("candidate_class")).alias("label"), N.planar_x(F.col("lon")).alias("x"), N.planar_y(F.col("lat")).alias("y"))
-    return same_label_test(geometry.nearest(p, p, 5000.0, exclude_same_id=True), p, replicates=100)
+    """Whether patches and their nearest neighbours share classes more often than chance: the latest row of each patch of all splits (random: no SQL)."""
+    t = reduce(DataFrame.unionByName, [table(spark, d, f"{s}_patches") for s in ("train", "dev", "test")]).withColumn("id", patch_number(F.col("patch_id"))).filter("id is not null")
+    w = Window.partitionBy("id").orderBy(F.desc("ingested_at"), F.desc("rec_id"))
+    one = t.withColumn("_r", F.row_number().over(w)).filter("_r = 1").filter(located(F.col("lon"), F.col("lat")))
+    p = materialize(one.select("id", clean_word(F.col("candidate_class")).alias("label"), N.planar_x(F.col("lon")).alias("x"), N.planar_y(F.col("lat")).alias("y")), "patches")
+    return same_label_test(geometry.nearest(p, p, 5000.0, exclude_same_id=True), p, replicates=2000)
 
 
 @query(f"""select 0 as step, 'rows' as what, count(*) as n from train_patches union all select 1, 'located', count(*) from train_patches where {_LOC}

@@ -41,3 +41,30 @@ def test_near_duplicates_of_every_run_are_found(spark):
         ts = [t for _, t in g]
         want[run] = (len(ts), sum(any(i != j and _f1(a, b) > 0.9 for j, b in enumerate(ts)) for i, a in enumerate(ts)) / len(ts))
     assert {r.run: (r.n, r.share) for r in QUERIES["q_near_dup"](spark, SMALL).collect()} == want and sum(n for n, _ in want.values()) == p.count()
+
+
+def test_permutation_sees_neighbours_of_all_splits(spark, tmp_path):
+    when = "2024-01-01 00:00:00"
+    # Pairs of neighbours, one in each of two splits; neighbours always share their class.
+    rows = {"train": [], "dev": [], "test": []}
+    for k in range(24):
+        for j, s in enumerate([("train", "dev"), ("dev", "test"), ("train", "test")][k % 3]):
+            rows[s].append((2 * k + j, f"p{2 * k + j:05d}", ("decline", "stable", "increase")[k // 3 % 3], 70.0 + 0.1 * k, 22.0 + 0.001 * j, when))
+    rows["test"].append((900, "p00000", "stable", 70.0, 22.0, "2023-01-01 00:00:00"))  # an older row of a patch
+    for s, x in rows.items():
+        spark.createDataFrame(x, "rec_id long, patch_id string, candidate_class string, lon double, lat double, ingested_at string").write.parquet(f"{tmp_path}/{s}_patches.parquet")
+    r = QUERIES["q_permutation"](spark, str(tmp_path)).first()
+    assert (r.observed, r.replicates, r.p) == (1.0, 2000, 1 / 2001) and abs(r.null_mean - 15 / 47) < 0.01
+
+
+def test_permutations_are_whole_and_even():
+    from collections import Counter
+
+    import numpy as np
+
+    from pairlens.operators.permutation import _tables, permuted
+
+    for n in (1, 2, 3, 7, 366, 1000):
+        assert sorted(permuted(np.arange(n), n, _tables(n, 3, 42))) == list(range(n))
+    c = Counter(tuple(permuted(np.arange(4), 4, _tables(4, rep, 1))) for rep in range(12_000))
+    assert len(c) == 24 and sum((k - 500) ** 2 / 500 for k in c.values()) < 60
