@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,23 +48,40 @@ def kappa(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return g.select(*by, "n", "agree", ((seen - expected) / F.nullif(1 - expected, F.lit(0.0))).alias("kappa"))
 
 
-def bootstrap_share(df: DataFrame, value: Column, by: Sequence[str], key: Column, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """Percentile interval of a mean of 0/1 values by Poisson resampling: each row draws its weight in each replicate by a hash.
+def _agreement(w: np.ndarray, gold: np.ndarray, pred: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Accuracy and kappa of each row of ``w``, the counts of cells with a ``gold`` and a ``pred`` class; kappa is NaN where chance alone explains all."""
+    n = w.sum(axis=1).astype(float)
+    seen = w @ hits / n
+    expected = sum((w @ (gold == c).astype(float)) * (w @ (pred == c).astype(float)) for c in CLASSES) / (n * n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return seen, np.where(expected == 1.0, np.nan, (seen - expected) / (1 - expected))
 
-    Weights replace resampling by index, so nothing is gathered: rows are first counted into (group, slot) sums per replicate on
-    the map side. The interval is reproducible, and equals the index form in distribution.
+
+def bootstrap_agreement(df: DataFrame, by: Sequence[str], replicates: int = 5000, seed: int = 42) -> DataFrame:
+    """Percentile intervals of the accuracy (``low``, ``high``) and of Cohen's kappa (``kappa_low``, ``kappa_high``) of ``gold`` and ``pred``.
+
+    Rows are first counted by group, gold, prediction and hit, a handful of cells; n rows drawn with replacement are a
+    multinomial draw over these cells, so a replicate costs the same at every size, and one draw serves both figures. Of m
+    sorted replicates the bounds are those at 0.025 m and at 0.975 m - 1; replicates without a kappa are left out of its bounds
+    (``kappa_replicates`` counts the others). ``kappa`` is that of the rows themselves.
     """
-    # Inverse of the Poisson(1) distribution up to 7; the rest is below 1e-5.
-    cuts, acc, term = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        acc += term
-        cuts.append((k, acc))
-        term /= k + 1
-    r = df.select(*by, value.cast("double").alias("v"), key.alias("_key")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("_key"), F.col("rep"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    weight = F.when(u < cuts[0][1], 0)
-    for k, c in cuts[1:]:
-        weight = weight.when(u < c, k)
-    w = r.withColumn("w", weight.otherwise(8))
-    means = w.groupBy(*by, "rep").agg((F.sum(F.col("v") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    return means.groupBy(*by).agg(F.count(F.lit(1)).alias("replicates"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    known = lambda c: F.when(F.col(c).isin(*CLASSES), F.col(c)).otherwise("")
+    cells = df.select(*by, known("gold").alias("_g"), known("pred").alias("_p"), hit(F.col("gold"), F.col("pred")).alias("_h")).groupBy(*by, "_g", "_p", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    types = dict(df.dtypes)
+    names = list(by)
+
+    def draw(key: tuple, c: pd.DataFrame) -> pd.DataFrame:
+        c = c.sort_values(["_g", "_p", "_h"])
+        k, gold, pred, hits = c["_n"].to_numpy(np.int64), c["_g"].to_numpy(), c["_p"].to_numpy(), c["_h"].to_numpy(float)
+        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+        share, kappas = _agreement(rng.multinomial(k.sum(), k / k.sum(), size=replicates), gold, pred, hits)
+        kappas = kappas[~np.isnan(kappas)]
+        own = _agreement(k[None, :], gold, pred, hits)[1][0]
+
+        def bounds(v: np.ndarray) -> list[float | None]:
+            v = np.sort(v)
+            return [float(v[int(0.025 * len(v))]), float(v[max(int(0.975 * len(v)) - 1, 0)])] if len(v) else [None, None]
+
+        return pd.DataFrame([[*key, replicates, *bounds(share), None if np.isnan(own) else float(own), len(kappas), *bounds(kappas)]], columns=[*names, "replicates", "low", "high", "kappa", "kappa_replicates", "kappa_low", "kappa_high"])
+
+    return cells.groupBy(*names).applyInPandas(draw, ", ".join([*(f"`{b}` {types[b]}" for b in names), "replicates long", "low double", "high double", "kappa double", "kappa_replicates long", "kappa_low double", "kappa_high double"]))

@@ -292,9 +292,8 @@ def q_kappa(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Bootstrap interval of each run's accuracy (a random draw: no SQL)."""
-    p = _preds(spark, d)
-    return inference.bootstrap_share(p, metrics.hit(F.col("gold"), F.col("pred")), ["run"], F.col("row_id"))
+    """Bootstrap intervals of each run's accuracy and kappa (a random draw: no SQL)."""
+    return inference.bootstrap_agreement(_preds(spark, d), ["run"])
 
 
 def _cards(spark: SparkSession, d: str) -> DataFrame:
