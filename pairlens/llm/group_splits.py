@@ -6,8 +6,9 @@ subset-sum over the sizes of components and their multiplicities.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from pairlens.sources.tables import table
 
 #: Shares of the splits (train takes what the others leave).
 SHARES = (("dev", 0.1), ("test", 0.1))
-#: Most bits of a subset-sum; a wanted total above it is counted in units of several rows.
+#: Bits of a subset-sum that are listed at once.
 SUM_BITS = 1 << 18
 SEED = "42"
 
@@ -60,40 +61,50 @@ def linked_blocks(rows: DataFrame) -> DataFrame:
     return connected_components(links)
 
 
+def _set_bits(x: int, bits: int) -> Iterator[np.ndarray]:
+    """The places of the set bits of ``x``, in pieces of about ``bits``."""
+    raw, step = x.to_bytes(x.bit_length() // 8 + 1, "little"), max(1, bits // 8)
+    for at in range(0, len(raw), step):
+        yield np.flatnonzero(np.unpackbits(np.frombuffer(raw[at : at + step], np.uint8), bitorder="little")) + 8 * at
+
+
 def choose_sizes(sizes: Sequence[tuple[int, int]], wanted: Sequence[tuple[str, int]], bits: int = SUM_BITS) -> dict[str, dict[int, int]]:
     """For each named split how many units of each size it gets, so that its total is as near to the wanted one as can be.
 
     ``sizes``: (size, how many units have it). Splits are filled in the order given, each from what is left. A bitset has
-    a bit for each total that some subset of the units reaches; multiplicities enter as powers of two. Ties go to the
-    smaller total. Totals above ``bits`` are counted in units of several rows, and smaller and smaller units then close the rest.
+    a bit for each total up to twice the wanted one that some subset of the units reaches; multiplicities enter as powers of
+    two, until the wanted total is reached. Ties go to the smaller total. Sums are exact at every size: beside the bitset, each
+    total keeps the step that reached it first (8 bytes a wanted row), found in pieces of ``bits`` bits.
     """
     left = {s: m for s, m in sizes if s > 0 and m > 0}
     chosen: dict[str, dict[int, int]] = {}
     for name, want in wanted:
-        unit = max(1, -(-want // bits))
         picked: dict[int, int] = {}
-        top = want // unit
-        reach, steps = 1, []
-        mask = (1 << (2 * top + 1)) - 1
+        reach, mask = 1, (1 << (2 * want + 1)) - 1
+        steps: list[tuple[int, int]] = []
+        first = np.zeros(2 * want + 1, dtype=np.int32)
         for s, m in sorted(left.items(), reverse=True):
-            w, k = -(-s // unit), 1
-            while m > 0 and w > 0 and w <= 2 * top:
+            k = 1
+            while m > 0 and s * min(k, m) <= 2 * want and want and not first[want]:
                 take = min(k, m)
-                steps.append((s, take, w * take, reach))
-                reach |= (reach << (w * take)) & mask
+                steps.append((s, take))
+                more = (reach << (s * take)) & mask
+                more ^= more & reach
+                if more:
+                    for at in _set_bits(more, bits):
+                        first[at] = len(steps)
+                reach |= more
                 m, k = m - take, k * 2
-        # In coarse units sizes are rounded up, so only totals from below are sure not to overshoot.
-        total = next((t for d in range(top + 1) for t in ((top - d, top + d) if unit == 1 else (top - d,)) if t >= 0 and reach >> t & 1), 0)
-        for s, take, w, before in reversed(steps):
-            if not before >> total & 1:
-                picked[s] = picked.get(s, 0) + take
-                total -= w
-        if unit > 1:
-            short = want - sum(s * n for s, n in picked.items())
-            for s in sorted(left, reverse=True):
-                n = max(0, min(left[s] - picked.get(s, 0), short // s))
-                picked[s], short = picked.get(s, 0) + n, short - n * s
-        chosen[name] = {s: n for s, n in picked.items() if n}
+        below, above = np.flatnonzero(first[: want + 1]), np.flatnonzero(first[want + 1 :])
+        total = int(below[-1]) if len(below) else 0
+        if len(above) and int(above[0]) + 1 < want - total:
+            total = want + 1 + int(above[0])
+        # What a step adds to was reached by earlier steps.
+        while total:
+            s, take = steps[first[total] - 1]
+            picked[s] = picked.get(s, 0) + take
+            total -= s * take
+        chosen[name] = picked
         for s, n in picked.items():
             left[s] -= n
     return chosen

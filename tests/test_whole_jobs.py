@@ -94,3 +94,16 @@ def test_bootstrap_query_draws_5000(spark):
     got = QUERIES["q_bootstrap"](spark, SMALL).collect()
     assert len(got) == len(kappas) and all(r.replicates == 5000 and r.low <= r.high for r in got)
     assert all(r.kappa is None and kappas[r.run] is None or round(r.kappa, 9) == kappas[r.run] for r in got)
+
+
+def test_subset_sums_are_exact_above_the_old_limit():
+    from itertools import product
+
+    from pairlens.llm.group_splits import choose_sizes
+
+    sizes = [(250_007, 2), (100_003, 3), (70_001, 5)]
+    sums = {sum(s * k for (s, _), k in zip(sizes, ks)) for ks in product(*[range(n + 1) for _, n in sizes])}
+    for want in (420_011, 300_000, 777_777, 600_100):
+        got = choose_sizes(sizes, [("x", want)])["x"]
+        assert all(n <= dict(sizes)[s] for s, n in got.items())
+        assert abs(sum(s * n for s, n in got.items()) - want) == min(abs(t - want) for t in sums)
