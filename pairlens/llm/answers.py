@@ -232,7 +232,7 @@ def defect_of(raw: str | None, justification: str | None, prompt: str | None, wa
     """(defect without truncation of the raw text, the answer's parts, whether the defect may yet turn out to be a truncation).
 
     Order: an answer of nothing is empty, a refusal a refusal, a copy a copy; then a parsed reason that alone stops early, then
-    another language. ``wanted`` is "short" where one word was asked for, so that no reason is missed there.
+    another language. Where the parsed reason stops early the raw text may have been cut as well. ``wanted`` is "short" where one word was asked for, so that no reason is missed there.
     """
     answer = read_answer(raw)
     if answer.blank:
@@ -250,7 +250,7 @@ def defect_of(raw: str | None, justification: str | None, prompt: str | None, wa
     if copy:
         return "copied", answer, not whole
     if answer.open or reason_cut(justification, answer, raw):
-        return "truncated", answer, False
+        return "truncated", answer, not answer.open
     asked, given = language_of(prompt), language_of(answer.reason)
     if asked != "und" and given != "und" and asked != given:
         return "other_language", answer, True

@@ -107,3 +107,17 @@ def test_subset_sums_are_exact_above_the_old_limit():
         got = choose_sizes(sizes, [("x", want)])["x"]
         assert all(n <= dict(sizes)[s] for s, n in got.items())
         assert abs(sum(s * n for s, n in got.items()) - want) == min(abs(t - want) for t in sums)
+
+
+def test_raw_text_cut_behind_an_earlier_cut_of_its_reason(spark):
+    from pairlens.llm.truncation import judged_answers
+
+    rng = random.Random(4)
+    nouns, ends = ["crops", "trees", "fields", "shrubs", "slopes"], ["in the north of the tile.", "in the south of the tile.", "near the river."]
+    whole = [f"The {rng.choice(nouns)} have lost much of their cover and the {rng.choice(nouns)} have kept it {rng.choice(ends)}" for _ in range(400)]
+    cut = "The crops have lost much of their cover and the trees have kept it in the"
+    data = [(i, t, t) for i, t in enumerate(whole)]
+    data += [(1000, cut, "The crops have lost much"), (1001, whole[0], whole[0][:30]), (1002, cut, cut)]
+    df = spark.createDataFrame([(i, "r", "What has changed here?", raw, just, None) for i, raw, just in data], "row_id long, combo_id string, prompt_text string, raw_text string, justification string, answer_format string")
+    got = {r.row_id: (r.cut, r.defect) for r in judged_answers(df).collect() if r.row_id >= 1000}
+    assert got == {1000: (True, "truncated"), 1001: (False, "truncated"), 1002: (True, "truncated")}
