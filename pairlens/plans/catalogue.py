@@ -108,11 +108,21 @@ def q_month_anomaly(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_custkey, len(list_distinct(list(month(o_orderdate)))) as n_months, min(o_orderdate)::date as first_day, max(o_orderdate)::date as last_day from orders where o_orderdate < timestamp '1996-01-01' group by 1")
 def q_month_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Months that each customer's first year touches."""
+    """Number of months in which each customer ordered before 1996, as its SQL says; `q_first_year_months` has every customer."""
     o = table(spark, d, "orders").filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp"))
     return o.groupBy("o_custkey").agg(F.countDistinct(F.month("o_orderdate")).cast("int").alias("n_months"), F.min("o_orderdate").cast("date").alias("first_day"), F.max("o_orderdate").cast("date").alias("last_day"))
 
 
+@query("""with y as (select o_custkey, year(o_orderdate) as y, count(distinct month(o_orderdate)) as n_months, min(o_orderdate)::date as first_day, max(o_orderdate)::date as last_day from orders where o_orderdate is not null group by 1, 2)
+select o_custkey, range(month(first_day), month(last_day) + 1) as months, n_months, first_day, last_day from (select *, row_number() over (partition by o_custkey order by y) as r from y) where r = 1""")
+def q_first_year_months(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's first year with orders: the months from its first to its last order, and how many of these have one."""
+    day = F.col("o_orderdate").cast("date")
+    y = table(spark, d, "orders").filter("o_orderdate is not null").groupBy("o_custkey", F.year(day).alias("y")).agg(F.countDistinct(F.month(day)).alias("n_months"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    one = y.groupBy("o_custkey").agg(F.min(F.struct("y", "first_day", "last_day", "n_months")).alias("f")).select("o_custkey", "f.*")
+    return one.select("o_custkey", period.month_set(F.col("first_day"), F.col("last_day")).alias("months"), "n_months", "first_day", "last_day")
+
+
 @query("select o_custkey, o_orderpriority, n from (select o_custkey, o_orderpriority, count(*) as n, row_number() over (partition by o_custkey order by count(*) desc, o_orderpriority) as r from orders where o_orderpriority is not null group by 1, 2) where r = 1")
 def q_dominant_category(spark: SparkSession, d: str) -> DataFrame:
     """Most frequent category per key; ties by name."""

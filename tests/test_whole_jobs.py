@@ -121,3 +121,12 @@ def test_raw_text_cut_behind_an_earlier_cut_of_its_reason(spark):
     df = spark.createDataFrame([(i, "r", "What has changed here?", raw, just, None) for i, raw, just in data], "row_id long, combo_id string, prompt_text string, raw_text string, justification string, answer_format string")
     got = {r.row_id: (r.cut, r.defect) for r in judged_answers(df).collect() if r.row_id >= 1000}
     assert got == {1000: (True, "truncated"), 1001: (False, "truncated"), 1002: (True, "truncated")}
+
+
+def test_every_customer_has_the_months_of_its_first_year(spark, tmp_path):
+    from datetime import date, datetime
+
+    days = [(1, datetime(1995, 11, 2)), (1, datetime(1996, 1, 5)), (2, datetime(1998, 3, 1)), (2, datetime(1998, 6, 9)), (2, datetime(1999, 1, 1)), (2, None)]
+    spark.createDataFrame(days, "o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in QUERIES["q_first_year_months"](spark, str(tmp_path)).collect())
+    assert got == [(1, [11], 1, date(1995, 11, 2), date(1995, 11, 2)), (2, [3, 4, 5, 6], 2, date(1998, 3, 1), date(1998, 6, 9))]
