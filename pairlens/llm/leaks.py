@@ -18,7 +18,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -360,9 +359,15 @@ def _candidate_texts(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, doc binary, doc_words binary, hits array<long>")
 
 
-def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("at")
-    return pdf.loc[rare_seeds(pdf["freq"].to_numpy(), pdf["seed"].to_numpy()) & (pdf["freq"].to_numpy() > 0), ["item", "seed"]].drop_duplicates()
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        item, chosen = [], []
+        for key, freq, seeds in zip(b.column("item").to_pylist(), b.column("freq").to_pylist(), b.column("seeds").to_pylist()):
+            freq, seeds = np.array(freq, np.int64), np.array(seeds, np.int64)
+            some = np.unique(seeds[rare_seeds(freq, seeds) & (freq > 0)])
+            item += [key] * len(some)
+            chosen.append(some)
+        yield pa.RecordBatch.from_arrays([pa.array(item, pa.binary()), pa.array(np.concatenate(chosen) if chosen else [], pa.int64())], ["item", "seed"])
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,15 +397,17 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_chars: int = BLOC
     hits = texts.select("doc", F.explode("hits").alias("seed"))
     # How many texts hold a seed of the items; the seeds that a window doesn't need are never joined.
     freq = hits.join(small_or_not(materialize(at.select("seed").distinct(), "seeds")), "seed", "left_semi").groupBy("seed").agg(F.count(F.lit(1)).alias("freq"))
-    known = at.join(freq, "seed", "left").select("item", "at", "seed", F.coalesce("freq", F.lit(0)).alias("freq"))
-    rare = materialize(known.groupBy("item").applyInPandas(_choose, "item binary, seed long"), "rare")
+    known = at.join(freq, "seed", "left").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("at", "seed", F.coalesce("freq", F.lit(0)).alias("freq")))).alias("s"))  # an item's own seeds
+    rare = materialize(known.select("item", F.col("s.freq").alias("freq"), F.col("s.seed").alias("seeds")).mapInArrow(_choose, "item binary, seed long"), "rare")
     met = materialize(salted_join(hits, rare, ["seed"], F.col("doc")).select("doc", "item").distinct(), "met")
     words = one_item.select("item", "item_words")
     # A word's hash takes eight bytes.
     size = one_item.agg(F.coalesce(F.sum(F.length("item_words")), F.lit(0))).first()[0]
     with_text = texts.select("doc", "doc_words").join(F.broadcast(met), "doc") if met.count() <= BROADCAST_ROWS else salted_join(met, texts.select("doc", "doc_words"), ["doc"], F.col("item"))
     pairs = with_text.join(F.broadcast(words), "item") if size <= block_chars else salted_join(with_text, words, ["item"], F.col("doc"))
-    found = materialize(spread(pairs.select("doc", "item", "doc_words", "item_words")).mapInArrow(_align, "doc binary, item binary, words int, edits int, score int"), "passages")
+    sc = documents.sparkSession.sparkContext
+    tasks = max(sc.defaultParallelism, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = materialize(pairs.select("doc", "item", "doc_words", "item_words").repartition(tasks).mapInArrow(_align, "doc binary, item binary, words int, edits int, score int"), "passages")
     of_docs = salted_join(held.select("doc_id", "doc"), found, ["doc"], F.xxhash64("doc_id"))
     return salted_join(of_docs, given.select("item_id", "item"), ["item"], F.xxhash64("doc_id")).select("doc_id", "item_id", "words", "edits", "score")
 

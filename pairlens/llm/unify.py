@@ -35,6 +35,7 @@ SAME_LOOK_TAGS = frozenset({"<wide>", "<narrow>", "<noBreak>", "<small>", "<init
 #: The table of confusable characters: a member of the Unicode library that comes with Spark.
 CONFUSABLES = "com/ibm/icu/impl/data/icudata/confusables.cfu"
 
+_LETTERS, _ASCII_LETTER = re.compile(r"[^\W\d_]+"), re.compile("[A-Za-z]")
 _LINE_BREAKS = re.compile("\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _CONTROLS = re.compile("[\x00-\x08\x0b-\x1f\x7f]")
 _SPACE_RUN = re.compile(r"[\t ]{2,}|\t")
@@ -173,21 +174,22 @@ def _spliced(text: str, letters: bool = True) -> str:
 
 @lru_cache(maxsize=1)
 def _mixed_words() -> tuple[re.Pattern[str], dict[int, str], dict[str, dict[int, str]]]:
-    """Words with a letter that looks Latin, the Latin letters of these, and the letters of each other script that look like Latin ones."""
+    """Letters that look Latin, the Latin letters of these, and the letters of each other script that look like Latin ones."""
     to_latin = {c: t for c, t in look_alike_letters().items() if t.isascii()}
     back: dict[str, dict[int, str]] = {}
     for c, t in sorted(to_latin.items()):
         script = unicodedata.name(c, "?").split(" ")[0]
         if unicodedata.category(c) == unicodedata.category(t) and script != "LATIN":
             back.setdefault(script, {}).setdefault(ord(t), c)
-    letters = "".join(map(re.escape, sorted(to_latin)))
-    return re.compile(rf"[^\W\d_]*[{letters}][^\W\d_]*"), {ord(c): t for c, t in to_latin.items()}, back
+    # Beyond the basic plane one range, as in the pattern of unstable segments.
+    letters = "".join(re.escape(c) for c in sorted(to_latin) if c <= "\uffff")
+    return re.compile(f"[{letters}\U00010000-\U0010ffff]"), {ord(c): t for c, t in to_latin.items()}, back
 
 
 def _one_script(m: re.Match[str]) -> str:
     """A word of Latin and other letters in the script that all of its letters can be taken for; Latin first, unchanged if there is none."""
     word = m[0]
-    if not any(c.isascii() for c in word):
+    if word.isascii() or not _ASCII_LETTER.search(word):
         return word
     latin, back = _mixed_words()[1:]
     folded = word.translate(latin)
@@ -204,27 +206,30 @@ def readable_text(text: str | None) -> str:
         return ""
     if not text.isascii() or _CONTROLS.search(text):
         text = _LINE_BREAKS.sub("\n", _spliced(text, letters=False))
-        if not text.isascii():
-            text = _mixed_words()[0].sub(_one_script, text)
+        if not text.isascii() and _mixed_words()[0].search(text):
+            text = _LETTERS.sub(_one_script, text)
     return _even_spaces(text)
 
 
 @lru_cache(maxsize=1)
-def caseless_letters() -> dict[int, str]:
-    """Small letters of other scripts whose capital, or else they themselves, look Latin, and the Latin small letter."""
+def caseless_letters() -> tuple[re.Pattern[str], dict[int, str]]:
+    """Small letters of other scripts whose capital, or else they themselves, look Latin, as a pattern and with the Latin small letter."""
     like = look_alike_letters()
     out = {}
     for c in {x.lower() for x in like} | like.keys():
         to = like.get(c.upper(), "") if like.get(c.upper(), "").isascii() and c.upper() in like else like.get(c, "")
         if len(c) == 1 and c == c.casefold() and to and to.isascii():
             out[ord(c)] = to.lower()
-    return out
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(out) if c <= 0xFFFF) + "\U00010000-\U0010ffff]+"), out
 
 
 def caseless_text(text: str | None) -> str:
     """The form of a text in which case and look-alike letters make no difference, whichever case they are alike in."""
     t = readable_text(text).casefold()
-    return t if t.isascii() else t.translate(caseless_letters())
+    if t.isascii():
+        return t
+    pattern, letters = caseless_letters()
+    return pattern.sub(lambda m: m[0].translate(letters), t)
 
 
 def canonical_text(text: str | None) -> str:
