@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import broadcast
 
-from pairlens.session import materialize, small_or_not
+from pairlens.session import BROADCAST_ROWS, materialize, small_or_not
 
 #: Rows of one key that one task may hold before the key is split.
 HOT_ROWS = 20_000
@@ -43,6 +44,13 @@ def salted_join(
     return out if extra is None else out.filter(extra)
 
 
+def lookup_join(many: DataFrame, few: DataFrame, keys: Sequence[str], spread: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner equi-join of ``many`` with a materialised table: broadcast where its counted rows are few, else :func:`salted_join`."""
+    if few.count() <= BROADCAST_ROWS:
+        return many.join(broadcast(few), list(keys), "inner")
+    return salted_join(many, few, keys, spread, hot_rows)
+
+
 def ranked_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column], spread: Column, salts: int = 32, name: str = "rank") -> DataFrame:
     """Number the rows of each group from 1 without gathering a group in one task.
 
