@@ -124,7 +124,8 @@ def _plan_mix(cells: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
     mix = want["mix_id"].iloc[0]
     columns = ["mix_id", "kind", "classes", "study_area", "trend", "candidate_class", "value"]
     total = int(want["sample_rows"].max())
-    quota = quotas(total, dict(zip(want["candidate_class"], want["target_share"])), dict(zip(want["candidate_class"], want["min_rows"])))
+    need = dict(zip(want["candidate_class"], want["need"].astype(int)))
+    quota = {c: min(n, need[c]) for c, n in quotas(total, dict(zip(want["candidate_class"], want["target_share"])), dict(zip(want["candidate_class"], want["min_rows"]))).items()}
     out = [(mix, "quota", "", "", "", c, float(n)) for c, n in quota.items()]
     if len(cells):
         take = deal_out(cells.groupby("classes")["n"].sum().astype(int).to_dict(), quota)
@@ -173,7 +174,7 @@ def raked_sample(rows: DataFrame, mix: DataFrame, seed: int = SEED) -> tuple[Dat
     """The sample (``mix_id``, ``candidate_class``, ``patch``, ``draw_key``) and the report with one row per mix and class.
 
     ``mix`` has ``mix_id``, ``study_area`` (null: all), ``sample_rows``, ``candidate_class``, ``target_share``, ``min_rows``. The quotas of a mix sum
-    to ``sample_rows`` unless its minimums alone are more (:func:`quotas`). A patch is drawn once in a mix; one that names several
+    to ``sample_rows`` unless its minimums alone are more or its shares round to less (:func:`quotas`); none is above the class's need. A patch is drawn once in a mix; one that names several
     classes goes where it is needed (:func:`deal_out`). The report has ``need`` (what share and minimum ask for one by one), ``supply`` (distinct
     patches that name the class), ``quota``, ``drawn`` and ``gap`` = need - drawn. Empty pools draw nothing.
 
@@ -197,7 +198,7 @@ def _drawn(rows: DataFrame, mix: DataFrame, seed: int) -> tuple[DataFrame, DataF
 
     counts = materialize(pools.groupBy("pool", "named", "study_area", "trend").agg(F.count(F.lit(1)).alias("n")), "counts")
     cells = materialize(met(counts).groupBy("mix_id", "classes", "study_area", "trend").agg(F.sum("n").alias("n")), "cells")
-    asked = want.select("mix_id", "candidate_class", F.coalesce("sample_rows", F.lit(0)).alias("sample_rows"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("min_rows", F.lit(0)).alias("min_rows"))
+    asked = want.select("mix_id", "candidate_class", F.coalesce("sample_rows", F.lit(0)).alias("sample_rows"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("min_rows", F.lit(0)).alias("min_rows"), "need")
     plan = materialize(cells.groupBy("mix_id").cogroup(asked.groupBy("mix_id")).applyInPandas(_plan_mix, f"mix_id {kind}, kind string, classes string, study_area string, trend string, candidate_class string, value double"), "plan")
     weights = materialize(plan.filter("kind = 'weight'").select("mix_id", "classes", "study_area", "trend", F.col("value").alias("weight")), "weights")
     # The places in the order of draw keys that each class of a set gets.
