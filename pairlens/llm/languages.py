@@ -13,6 +13,8 @@ FUNCTION_WORDS = {
     "de": "der die das und in im den dem des von zu mit auf um ist war nicht ein eine einer am bei wurde sich aus nach obwohl laut nördlich zur zum kaum etwas oder wie ob dann",
     "fr": "le la les des du de et en une un est été que qui dans sur pour par au aux avec même si plus peu près c'est n'a autour nord ou",
     "pt": "os as do da dos das de em no na nos nas um uma que com por para se ao foi mais sem não perto junto segundo embora durante ficou mudou passou há equipe anotou permaneceu ele ela isso este esta seu sua são está foram pelo pela ao dos",
+    "it": "il gli dello della delle nel nella nelle è sono stato stata più questo questa dopo prima senza molto tra fra degli dei dal dalla alla ed di perché",
+    "nl": "het een van niet voor zijn ook maar naar bij werd wordt deze dit tussen geen nog wel heeft aan uit zich tot omdat onder hun veel",
 }
 _LANGUAGES_OF: dict[str, list[str]] = {}
 for _code, _words in FUNCTION_WORDS.items():
@@ -31,11 +33,15 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "?").split(" ")[0].split("-")[0]
 
 
+@lru_cache(maxsize=256)
 def language_of(text: str | None, least: int = 2) -> str:
     """A language code, or "und" where the text gives too little to tell. Names and capitals in Latin letters don't count
     against another script."""
     if not text:
         return "und"
+    if not text.isascii():
+        # Signs of measurement are of no language.
+        text = text.replace("Δ", " ").replace("°", " ")
     if not text.isascii():
         foreign: dict[str, int] = {}
         rest = ""
@@ -52,8 +58,8 @@ def language_of(text: str | None, least: int = 2) -> str:
                 return SCRIPT_LANGUAGE[s]
     words = text.lower().translate(_APART).split() if text.isascii() else _WORD.findall(text.lower())
     scores = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in words:
-        for k in _LANGUAGES_OF.get(w, ()):
+    for ks in filter(None, map(_LANGUAGES_OF.get, words)):
+        for k in ks:
             scores[k] += 1
     best = max(scores, key=lambda k: scores[k])
     rest = max(v for k, v in scores.items() if k != best)

@@ -1,10 +1,11 @@
 """Problems 1 and 4: texts cut off before their end, and defective answers.
 
 The end of a text is judged by a backward character n-gram model. Its contexts are the last characters before a place where
-a word or a digit ends, with digits and names masked; it counts how often a sentence ends there and how often it goes on. A
-second family of contexts reaches back to the start of the last word and counts how often the word is whole. Ends of texts
-themselves are never counted, so a cut can't vouch for itself. A text is cut if the log-odds of an end in its final context
-lie under the threshold of its language and column.
+a word, a digit or a sign ends, with digits and names masked; it counts how often a sentence ends there and how often it goes on.
+A second family of contexts reaches back to the start of the last word and counts how often the word is whole. Ends of texts
+themselves are never counted, so a cut can't vouch for itself. Every answer is asked for, whatever it ends with: a final sign is
+part of the context. A text is cut if the log-odds of an end in its final context lie under the threshold of its language and
+column; where a structure was left open the parser has seen the cut already.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pairlens.llm.answers import ENDERS, defect_of
 from pairlens.llm.languages import CODES, language_of
-from pairlens.llm.unify import canonical_text
+from pairlens.llm.unify import readable_text
 from pairlens.operators.skew import salted_join, spread
 from pairlens.session import materialize
 from pairlens.sources.tables import table
@@ -29,26 +30,27 @@ from pairlens.sources.tables import table
 #: Characters of the contexts, longest first; the longest one that was seen LEAST_SEEN times decides.
 ORDERS = (28, 18, 12, 8, 5)
 LEAST_SEEN = 3
-#: Share of a language's own log-odds of an end that is its threshold, and the threshold of a whole word.
+#: Parts of a language's own log-odds, of an end and of a whole word, that are its thresholds; behind a sign an end must be likelier than not.
 THRESHOLD_SHARE = 0.5
-WORD_THRESHOLD = -3.5
+WORD_SHARE = 2.5
 #: Contexts that one task holds before it merges them.
 HELD_KEYS = 4_000_000
-#: Characters that are hashed at once, and those of a text's end that its final context is taken from.
+#: Characters that are hashed at once.
 PACK_CHARS = 500_000
-TAIL_CHARS = 1_000
+#: Ranks of final contexts behind a sign start here.
+BEHIND_SIGN = 100
 
 _NAME = re.compile(r"\b[A-ZÀ-ÖØ-ÞĀ-Ž][a-zß-öø-ÿā-ž]{2,}\b")
-_DIGIT = re.compile(r"\d")
 _BEGIN, _END = "\x02", "\x03"
 _CLOSERS = ")]\"'”»*_`"
+_SIGNS = ENDERS.replace("…", "") + ")]}"
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
 def masked(text: str) -> str:
-    """Digits become 0 and capitalised words X; the length may change."""
-    return _DIGIT.sub("0", _NAME.sub("X", text))
+    """Capitalised words become X; the length may change."""
+    return _NAME.sub("X", text)
 
 
 def _mix(h: np.ndarray, seed: int) -> np.ndarray:
@@ -62,13 +64,15 @@ def _mix(h: np.ndarray, seed: int) -> np.ndarray:
 class _Packed:
     """Texts as one array of characters, with hashes of any stretch that ends at a place."""
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, texts: list[str], same_digits: bool = False) -> None:
         whole = "".join(f"{_BEGIN}{t}{_END}" for t in texts)
         self.c = np.frombuffer((whole + "   ").encode("utf-32-le", "surrogatepass"), np.uint32)
         n = self.c.size
         kinds = {int(u): (2 if chr(u).isdecimal() or chr(u) == "%" or unicodedata.category(chr(u))[0] == "S" else 1 if chr(u).isalpha() or chr(u) in "्ंः" or 0x0300 <= u <= 0x036F or 0x0900 <= u <= 0x0963 else 0) for u in np.unique(self.c)}
         keys = np.fromiter(kinds, np.uint32, len(kinds))
         self.kind = np.fromiter(kinds.values(), np.int8, len(kinds))[np.searchsorted(keys, self.c)]
+        if same_digits:
+            self.c = np.where(np.isin(self.c, [u for u in kinds if chr(u).isdecimal()]), np.uint32(ord("0")), self.c)
         with np.errstate(over="ignore"):
             self.up = np.multiply.accumulate(np.full(n + 1, _P, np.uint64))
             down = np.multiply.accumulate(np.full(n, _Q, np.uint64))
@@ -90,22 +94,25 @@ class _Packed:
 
 _ENDER_CODES = np.array([ord(x) for x in ENDERS if x not in "…"], np.uint32)
 _CLOSER_CODES = np.array([ord(x) for x in _CLOSERS], np.uint32)
+_SIGN_CODES = np.array([ord(x) for x in _SIGNS], np.uint32)
 _AFTER_CODES = np.array([ord(x) for x in " \n\t\"}]*" + _END], np.uint32)
 
 
-def _events(p: _Packed) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a word, a digit or a sign ends, apart from ends of texts, and whether a sentence ends there."""
+def _events(p: _Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where a word, a digit or a sign ends, apart from ends of texts, whether a sentence ends there, and whether behind a sign."""
     k, c = p.kind, p.c
-    stop = np.flatnonzero(((k[:-4] == 1) & (k[1:-3] != 1)) | (k[:-4] == 2)) + 1
+    sign = np.isin(c, _SIGN_CODES)
+    stop = np.flatnonzero(((k[:-4] == 1) & (k[1:-3] != 1)) | (k[:-4] == 2) | sign[:-4]) + 1
     at = stop.copy()
     for _ in range(3):
         shut = np.isin(c[at], _CLOSER_CODES) & (c[at] != ord('"'))
         at = np.where(shut, at + 1, at)
     a, b = c[at], c[at + 1]
-    dots = (a == ord("…")) | ((a == ord(".")) & (b == ord(".")))
-    end = (np.isin(a, _ENDER_CODES) & np.isin(b, _AFTER_CODES)) | (a == 10) | (a == ord('"'))
+    behind = sign[stop - 1]
+    dots = (a == ord("…")) | ((a == ord(".")) & ((b == ord(".")) | behind))
+    end = np.where(behind, np.isin(a, _AFTER_CODES), (np.isin(a, _ENDER_CODES) & np.isin(b, _AFTER_CODES)) | (a == 10) | (a == ord('"')))
     keep = (a != ord(_END)) & ~dots
-    return stop[keep], end[keep]
+    return stop[keep], end[keep], behind[keep]
 
 
 def _word_starts(p: _Packed, at: np.ndarray, back: bool) -> np.ndarray:
@@ -133,15 +140,25 @@ def _word_events(p: _Packed, back: bool = False) -> tuple[np.ndarray, np.ndarray
 
 
 @lru_cache(maxsize=None)
-def _language_key(code: str) -> int:
-    return int(_mix(np.array([CODES.index(code)], np.uint64), 0x1A)[0])
+def _language_key(code: str, family: int = 0x1A) -> int:
+    """The key under which a language's ends (or, with WORDS, its whole words) are counted."""
+    return int(_mix(np.array([CODES.index(code)], np.uint64), family)[0])
+
+
+WORDS = 0x1B
+
+
+def _sign_keys(codes: np.ndarray, p: _Packed, stop: np.ndarray) -> np.ndarray:
+    """A key of the language, the sign before a place and the kind of character before the sign: what a sign says by itself."""
+    what = p.c[stop - 1].astype(np.int64) * 4 + p.kind[np.maximum(stop - 2, 0)]
+    return _mix((codes ^ (what << 8)).view(np.uint64), 0x1C)
 
 
 def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, times seen, times at an end) of all contexts of the texts."""
     keys, ends = [], []
-    m = _Packed([masked(t) for t in texts])
-    stop, end = _events(m)
+    m = _Packed([masked(t) for t in texts], same_digits=True)
+    stop, end, behind = _events(m)
     for h in m.contexts(stop):
         keys.append(h)
         ends.append(end)
@@ -149,15 +166,28 @@ def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, upto, whole = _word_events(w)
     keys.append(_mix(w.hash(start, upto), 0x30))
     ends.append(whole)
-    before, upto, whole = _word_events(m, back=True)
+    word_of = np.searchsorted(w.ends, start, "left")
+    before, upto, whole_two = _word_events(m, back=True)
     keys.append(_mix(m.hash(before, upto), 0x31))
-    ends.append(whole)
-    codes = np.fromiter((_language_key(language_of(t)) for t in texts), np.int64, len(texts))
+    ends.append(whole_two)
+    languages = [language_of(t) for t in texts]
+    codes = np.fromiter(map(_language_key, languages), np.int64, len(texts))
     text_of = np.searchsorted(m.ends, stop, "left")
-    keys.append(codes[text_of])
-    ends.append(end)
+    keys.append(_sign_keys(codes[text_of[behind]], m, stop[behind]))
+    ends.append(end[behind])
     key, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(where, minlength=len(key)).astype(np.int64), np.bincount(where, weights=np.concatenate(ends), minlength=len(key)).astype(np.int64)
+    seen = np.bincount(where, minlength=len(key)).astype(np.int64)
+    ended = np.bincount(where, weights=np.concatenate(ends), minlength=len(key)).astype(np.int64)
+    # Ends and whole words of each language, summed by text first.
+    extra: dict[int, list[int]] = {}
+    for family, texts_of, ok in ((0x1A, text_of[~behind], end[~behind]), (WORDS, word_of, whole)):
+        n, k = np.bincount(texts_of, minlength=len(texts)), np.bincount(texts_of, weights=ok, minlength=len(texts)).astype(np.int64)
+        for code, a, b in zip(languages, n.tolist(), k.tolist()):
+            sums = extra.setdefault(_language_key(code, family), [0, 0])
+            sums[0] += a
+            sums[1] += b
+    more = np.array([[k, *v] for k, v in extra.items()], np.int64).reshape(-1, 3)
+    return tuple(np.concatenate([x, more[:, i]]) for i, x in enumerate((key, seen, ended)))
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +218,7 @@ def _packs(texts: list[str]) -> Iterator[list[str]]:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: list = []
     for b in batches:
-        texts = [t for t in (canonical_text(x) for x in b.column(0).to_pylist()) if t]
+        texts = [t for t in (readable_text(x) for x in b.column(0).to_pylist()) if t]
         for some in _packs(texts):
             parts.append(_counts(some))
         if sum(len(x[0]) for x in parts) > HELD_KEYS:
@@ -205,44 +235,57 @@ def end_model(texts: DataFrame, column: str) -> DataFrame:
     return c.groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
 
 
-def _final_keys(texts: list[str]) -> list[list[tuple[int, int]]]:
-    """The (rank, key) of the final context of each text, without its closing signs; ranks count ORDERS, then the word and the last two."""
+def _final_keys(texts: list[str], closed: list[bool], languages: list[str]) -> list[list[tuple[int, int]]]:
+    """The (rank, key) of the final context of each text: ranks count ORDERS, what the sign alone says, the last word and the last two.
+
+    A text that isn't ``closed`` is taken without its closing signs; of the others the last sign stays and their ranks start at BEHIND_SIGN.
+    """
     core = []
-    for t in texts:
+    for t, shut in zip(texts, closed):
         s = t.rstrip()
-        if s.endswith(("...", "…")):
-            s = s.rstrip(".… ")
-        s = s.rstrip(ENDERS + _CLOSERS + " \n")
-        if len(s) > TAIL_CHARS:
-            s = s[-TAIL_CHARS:].partition(" ")[2] or s[-TAIL_CHARS:]
+        if shut:
+            s = s.rstrip("\"'”»*_` \n")
+        else:
+            if s.endswith(("...", "…")):
+                s = s.rstrip(".… ")
+            s = s.rstrip(ENDERS + _CLOSERS + " \n")
         core.append(s)
-    m, w = _Packed([masked(t) for t in core]), _Packed(core)
+    m, w = _Packed([masked(t) for t in core], same_digits=True), _Packed(core)
     ctx = m.contexts(m.ends)
     word_end = w.kind[w.ends - 1] == 1
     word = _mix(w.hash(_word_starts(w, w.ends - 1, False), w.ends), 0x30)
     two = _mix(m.hash(_word_starts(m, m.ends - 1, True), m.ends), 0x31)
+    alone = _sign_keys(np.fromiter(map(_language_key, languages), np.int64, len(languages)), m, m.ends)
     n = len(ORDERS)
-    # Of a text of one word the masked context says nothing: only the word counts.
-    return [([(r, int(h[i])) for r, h in enumerate(ctx)] if re.search(r"\s", core[i]) else []) + ([(n, int(word[i])), (n + 1, int(two[i]))] if word_end[i] else []) for i in range(len(core))]
+    out = []
+    for i, s in enumerate(core):
+        # Of a text of one word the masked context says nothing: only the word counts.
+        keys = [(r, int(h[i])) for r, h in enumerate(ctx)] if re.search(r"\s", s) else []
+        if closed[i]:
+            out.append([(BEHIND_SIGN + r, k) for r, k in [*keys, (n, int(alone[i]))]])
+        else:
+            out.append(keys + ([(n + 1, int(word[i])), (n + 2, int(two[i]))] if word_end[i] else []))
+    return out
 
 
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw, just, prompt, wanted = (b.column(n).to_pylist() for n in ("raw_text", "justification", "prompt_text", "answer_format"))
         found = [defect_of(*x) for x in zip(raw, just, prompt, wanted)]
-        texts = [canonical_text(t) if t else "" for t in raw]
-        ask = [may and not a.closed and not a.open and not a.blank for (_, a, may) in found]
+        some = [i for i, (_, a, may) in enumerate(found) if may and not a.open and not a.blank]
+        texts = [found[i][1].text for i in some]
+        languages = [language_of(found[i][1].reason or t) for i, t in zip(some, texts)]
         keys: list = [[] for _ in raw]
-        some = [i for i, x in enumerate(ask) if x]
-        for i, ks in zip(some, _final_keys([texts[i] for i in some]) if some else []):
-            keys[i] = ks
+        codes: list = [None] * len(raw)
+        for i, ks, code in zip(some, _final_keys(texts, [found[i][1].closed for i in some], languages) if some else [], languages):
+            keys[i], codes[i] = ks, code
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("row_id"),
                 b.column("combo_id"),
                 pa.array([d for d, _, _ in found], pa.string()),
                 pa.array([a.open and d == "truncated" for d, a, _ in found], pa.bool_()),
-                pa.array([_language_key(language_of(t)) if ks else None for t, ks in zip(texts, keys)], pa.int64()),
+                pa.array(codes, pa.string()),
                 pa.array([[{"rank": r, "key": k} for r, k in ks] for ks in keys], pa.list_(pa.struct([("rank", pa.int32()), ("key", pa.int64())]))),
             ],
             ["row_id", "combo_id", "defect", "open", "language", "finals"],
@@ -258,22 +301,25 @@ def judged_answers(rows: DataFrame) -> DataFrame:
     """
     rows = rows.select("row_id", "combo_id", "prompt_text", "raw_text", "justification", "answer_format")
     model = materialize(end_model(rows, "raw_text"), "ends")
-    seen = materialize(spread(rows).mapInArrow(_examine, "row_id long, combo_id string, defect string, open boolean, language long, finals array<struct<rank:int,key:long>>"), "answers")
+    seen = materialize(spread(rows).mapInArrow(_examine, "row_id long, combo_id string, defect string, open boolean, language string, finals array<struct<rank:int,key:long>>"), "answers")
     seen = seen.withColumn("final", F.when(F.size("finals") > 0, F.xxhash64("language", "finals")))
     # Equal ends are looked up once, however many rows have them.
     finals = seen.filter("final is not null").select("final", "language", "finals").dropDuplicates(["final"])
     asked = finals.select("final", "language", F.explode("finals").alias("f")).select("final", "language", F.col("f.rank").alias("rank"), F.col("f.key").alias("key"))
     odds = lambda ended, n: F.log((ended + 0.5) / (n - ended + 0.5))
     # One row for each language code at most.
-    base = model.filter(F.col("key").isin([_language_key(c) for c in CODES])).select(F.col("key").alias("language"), (odds(F.col("ended"), F.col("seen")) * THRESHOLD_SHARE).alias("threshold"))
+    code_of = lambda family: [F.struct(F.lit(c).alias("language"), F.lit(_language_key(c, family)).alias("key")) for c in CODES]
+    named = lambda family, part, name: model.join(F.broadcast(model.sparkSession.range(1).select(F.explode(F.array(*code_of(family))).alias("c")).select("c.*")), "key").select("language", (odds(F.col("ended"), F.col("seen")) * part).alias(name))
+    base = named(0x1A, THRESHOLD_SHARE, "threshold").join(named(WORDS, WORD_SHARE, "word_threshold"), "language", "full")
     met = salted_join(asked, model.filter(F.col("seen") >= LEAST_SEEN), ["key"], F.col("final"))
     met = met.join(F.broadcast(base), "language", "left").withColumn("odds", odds(F.col("ended"), F.col("seen")))
-    sentence = F.col("rank") < len(ORDERS)
+    met = met.withColumn("threshold", F.when(F.col("rank") >= BEHIND_SIGN, F.lit(0.0)).otherwise(F.coalesce("threshold", F.lit(0.0))))
+    sentence = F.pmod(F.col("rank"), F.lit(BEHIND_SIGN)) <= len(ORDERS)
     scores = met.groupBy("final").agg(
         F.min(F.when(sentence, F.struct("rank", "odds", "threshold"))).alias("context"),
-        F.min(F.when(~sentence, F.col("odds"))).alias("word"),
+        F.min(F.when(~sentence, F.col("odds") - F.col("word_threshold"))).alias("word"),
     )
-    low = F.coalesce(F.col("context.odds") < F.coalesce("context.threshold", F.lit(0.0)), F.lit(False)) | F.coalesce(F.col("word") < WORD_THRESHOLD, F.lit(False))
+    low = F.coalesce(F.col("context.odds") < F.col("context.threshold"), F.lit(False)) | F.coalesce(F.col("word") < 0, F.lit(False))
     verdicts = finals.select("final").join(scores.select("final", low.alias("unfinished")), "final", "left").select("final", F.coalesce("unfinished", F.lit(False)).alias("unfinished"))
     columns = ["row_id", "combo_id", "defect", "open", "unfinished"]
     judged = salted_join(seen.filter("final is not null"), verdicts, ["final"], F.col("row_id")).select(columns)

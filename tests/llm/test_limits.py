@@ -151,3 +151,30 @@ def test_letters_of_the_public_table():
     honest = "Мама мыла раму в Москве."
     assert unify.readable_text(honest) == honest
     assert unify.readable_text("Мoсква cору") == "Москва copy"
+
+
+def test_refusals_by_clauses():
+    from pairlens.llm.answers import is_refusal
+
+    for t in ["I'm sorry, the images are too blurry. I can't tell what changed.", "As a language model I have no way to look at pictures.", "We are not able to judge this pair.", "Cette demande dépasse mes capacités."]:
+        assert is_refusal(t)
+    for t in ["We cannot see loss in the north. NDVI fell.", "I can see that NDVI fell.", "The sorry state of the reed bed is older.", "I'm sorry for the delay. NDVI fell."]:
+        assert not is_refusal(t)
+
+
+def test_open_markup_lists_and_quotes():
+    from pairlens.llm.answers import read_answer
+
+    for t in ["<p>one <b>forest", "<ul><li>one</li><li>two", 'He said "the forest', "text\n1. one\n2. two\n3.", "see <b"]:
+        assert read_answer(t).open, t
+    for t in ["<p>Done.", "a <br> b.", 'a 5" b and "c" d.', "<b>x</b> y.", "a < b > c."]:
+        assert not read_answer(t).open, t
+
+
+def test_long_class_answers_and_languages():
+    from pairlens.llm.answers import only_class
+    from pairlens.llm.languages import language_of
+
+    assert only_class("decline" + " " * 100 + "**")
+    assert language_of("Il bosco è stato tagliato dopo il primo inverno e la vegetazione della collina è cambiata") == "it"
+    assert language_of("Het bos werd voor een deel gekapt en de bodem is nog niet hersteld") == "nl"

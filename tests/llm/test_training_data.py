@@ -290,7 +290,7 @@ REASON = "NDVI held steady from 0.656 to 0.671 and the radar agrees with that."
     ("raw", "justification", "wanted", "defect"),
     [
         (None, None, "text", "empty"), ("", "", "text", "empty"), ("​", "​", "short", "empty"), ("{}", "", "json", "empty"), ("```json\n```", "", "json", "empty"), ("class: stable\nreason:", "", "text", "empty"),
-        ('{"change_class": "stable", "justification": " "}', "", "json", "empty"), ("Stable", "Stable", "text", "empty"), ("stable", "stable", "short", None), ("снижение", "снижение", "short", None),
+        ('{"change_class": "stable", "justification": " "}', "", "json", "empty"), ("Stable", "Stable", "text", "empty"), ("stable", "stable", "short", None), ("снижение", "снижение", "short", "other_language"), ("Decline.", "x", "short", None), ('{"change_class": "decline", "justification": "' + REASON + '"}', REASON, "json", None),
         ("I'm sorry, but I can't help with that.", "x", "text", "refusal"), ("unanswerable", "x", "short", "refusal"), ('{"change_class": null, "justification": "No answer can be provided for this patch. Thank you."}', "x", "json", "refusal"),
         ("Lo siento, no puedo responder a esa pregunta.", "x", "text", "refusal"), ("क्षमा करें, मैं इसका उत्तर नहीं दे सकता।", "x", "text", "refusal"),
         ("The sorry state of the reed bed is older than both scenes.", None, "text", None), ("Without the radar one could not tell shadow from loss, but here both agree.", None, "text", None),
