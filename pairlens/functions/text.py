@@ -70,5 +70,5 @@ READINGS = {
 
 def shortened(t: Column, most: int = 417) -> Column:
     """A text of ``most`` characters at most, cut at a blank and marked with an ellipsis; null stays null."""
-    head = F.regexp_replace(F.substring(t, 1, most), r"\s+\S*$", "")
+    head = F.regexp_replace(F.substring(t, 1, most), r"\s+\S*\z", "")
     return F.when(F.length(t) <= most, t).otherwise(F.concat(head, F.lit(" …")))

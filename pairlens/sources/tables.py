@@ -29,12 +29,13 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def run_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(``file``, ``combo_id``, ``status``, ``id``, ``gold``, ``pred_text``, ``pred``) of JSON reports of runs; a run without predictions keeps one row."""
+def run_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(``file``, ``combo_id``, ``status``, ``id``, ``gold``, ``pred_text``, ``pred``) of JSON reports of runs, one a file or (``lines``) one a line; a run without
+    predictions keeps one row."""
     from pyspark.sql import functions as F
 
     schema = "combo_id string, status string, predictions array<struct<id:string,gold:string,pred_text:string,pred:string>>"
-    r = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    r = spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn("file", F.input_file_name())
     return r.select("file", "combo_id", F.coalesce("status", F.lit("ok")).alias("status"), F.explode_outer("predictions").alias("p")).select("file", "combo_id", "status", "p.*")
 
 
@@ -51,13 +52,19 @@ def preferred_reports(runs: DataFrame) -> DataFrame:
 def logged_ids(spark: SparkSession, path: str, marker: str, pattern: str = r"\[\d+/\d+\] (p\d{5})") -> DataFrame:
     """(``id``, ``first_line``) of the ids that a log names after the line with ``marker``, in the order of their first mention.
 
-    Line numbers come from the file's own order, which one task reads, as a log is one stream.
+    Lines are numbered by the place of their block in the file and their place in the block, so a long log is read by many tasks.
     """
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    start = lines.filter(F.col("value").contains(marker)).agg(F.min("line").alias("start"))
-    hits = lines.join(F.broadcast(start)).filter(F.col("line") > F.col("start")).withColumn("id", F.regexp_extract("value", pattern, 1)).filter("id <> ''")
+    where = ["_file", "_block"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    sizes = lines.groupBy(*where).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*where).rowsBetween(Window.unboundedPreceding, -1))  # one row a block
+    sizes = sizes.select(*where, F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = lines.withColumn("_k", F.row_number().over(Window.partitionBy(*where).orderBy("_at"))).join(sizes, where).select("value", (F.col("_before") + F.col("_k") - 1).alias("line"))
+    start = numbered.filter(F.col("value").contains(marker)).agg(F.min("line").alias("start"))
+    hits = numbered.join(F.broadcast(start)).filter(F.col("line") > F.col("start")).withColumn("id", F.regexp_extract("value", pattern, 1)).filter("id <> ''")
     return hits.groupBy("id").agg(F.min("line").alias("first_line"))
 
 
