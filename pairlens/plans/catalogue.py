@@ -554,13 +554,46 @@ def q_render_structured(spark: SparkSession, d: str) -> DataFrame:
     return c.select("row_id", E.structured_block({k: F.col(k) for k in X.READINGS}).alias("card"))
 
 
-@query()
+_TRIM = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_WORDS = {k: ", ".join(f"'{w}'" for w in v) for k, v in parse.FIRST_WORDS.items()}
+
+
+def _class_sql(low: str, lead: str, field: str) -> str:
+    """The class that a lower-cased text names, from its first word and its fields."""
+    words = " ".join(f"when regexp_matches({low}, '\\b(?:{'|'.join(v)})\\b') then '{k}'" for k, v in parse.TEXT_WORDS.items())
+    first = " ".join(f"when length({low}) < 80 and {lead} in ({v}) then '{k}'" for k, v in _WORDS.items())
+    return f"coalesce(regexp_extract(list_filter(regexp_extract_all({field}, '\"change_class\"\\s*:\\s*\"(?:stable|decline|increase)\"\\s*\\|?'), lambda x: not ends_with(x, '|'))[-1], '(stable|decline|increase)\"$', 1), case {first} {words} end)"
+
+
+_PARTS = f"""with t as (select row_id, {_TRIM.format("coalesce(raw_text, '')")} as raw from predictions_explain), l as (select row_id, raw, lower(raw) as low, {_TRIM.format("string_split(raw, ':')[-1]")} as tail from t),
+p as (select row_id, raw, lower(case when regexp_matches(low, '^side by side[:,]') and length(tail) between 1 and 39 then tail
+  when regexp_matches(low, 'one word only|answer with exactly one word|vegetation change class') and regexp_matches(raw, '(?i)(?:one word only[^\\n]*:|class:\\s*|stable, decline, or increase:\\s*)\\s*(\\S+)') then regexp_extract(raw, '(?i)(?:one word only[^\\n]*:|class:\\s*|stable, decline, or increase:\\s*)\\s*(\\S+)', 1)
+  when contains(low, 'decline, increase, or stable') and length(raw) > 60 then {_TRIM.format("regexp_extract(raw, '(?is)stable:\\s*(.*)', 1)")} else raw end) as part from l),
+c as (select row_id, raw, nullif({_class_sql('part', "regexp_extract(part, '^[^\\s,.;:!?]*')", 'part')}, '') as class from p)"""
+
+
+@query(_PARTS + " select row_id, class from c")
 def q_parse_class(spark: SparkSession, d: str) -> DataFrame:
-    """The class that each raw answer names (a parser: tested on cases)."""
+    """The class that each raw answer names."""
     return table(spark, d, "predictions_explain").select("row_id", parse.class_column(F.col("raw_text")).alias("class"))
 
 
-@query()
+_OBJECTS = (
+    _PARTS
+    + """, o as (select row_id, raw, class, regexp_extract(raw, '(?is)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1) as f, regexp_extract(raw, '(?s)\\{.*\\}') as b from c),
+j as (select row_id, raw, class, case when f <> '' and json_valid(f) then f::json when b <> '' and json_valid(b) then b::json end as o, regexp_matches(raw, '(?i)\\bclass\\s*[:=]\\s*(stable|decline|increase)\\b') as has_class, regexp_matches(raw, '(?is)\\breason\\s*[:=]\\s*(.+)') as has_reason from o)"""
+)
+
+
+@query(
+    _OBJECTS
+    + f""" select row_id, case when o is not null then coalesce(o->>'$.visual_change', '') else '' end as visual_change,
+ case when o is not null then case when o->>'$.change_class' in ('stable', 'decline', 'increase') then o->>'$.change_class' else class end when has_class then lower(regexp_extract(raw, '(?i)\\bclass\\s*[:=]\\s*(stable|decline|increase)\\b', 1)) else class end as change_class,
+ case when o is not null then coalesce(o->>'$.justification', '') when has_reason then {_TRIM.format("regexp_extract(raw, '(?is)\\breason\\s*[:=]\\s*(.+)', 1)")} else raw end as justification,
+ case when o is not null then coalesce((o->'$.supporting_evidence')::varchar[], []::varchar[]) else []::varchar[] end as supporting_evidence, case when o is not null then coalesce((o->'$.conflicting_evidence')::varchar[], []::varchar[]) else []::varchar[] end as conflicting_evidence,
+ case when o is not null then coalesce(o->>'$.possible_driver', '') else '' end as possible_driver, case when o is not null then try_cast(o->>'$.confidence' as double) end as confidence,
+ case when o is not null then 'json' when has_class or has_reason then 'short' else 'fallback' end as parse_format from j"""
+)
 def q_parse_explanation(spark: SparkSession, d: str) -> DataFrame:
     """The fields of each raw answer."""
     return parse.parsed_explanations(table(spark, d, "predictions_explain"), "row_id", "raw_text")

@@ -73,8 +73,9 @@ def test_near_duplicates_against_all_pairs(spark):
 
 
 @pytest.mark.parametrize(("text", "want"), [("Stable", "stable"), ('"change_class": "stable"|"decline"', "decline"), ('{"change_class": "increase"}', "increase"), ("x" * 80 + " increase then decline", "decline"), ("unanswerable", None), ("", None), (None, None), ("Gain.", "increase"), ("Side by side: before, after: decline", "decline"), ("Reply: decline, increase, or stable please, with nothing more than that word stable: increase", "increase")])
-def test_parse_class(text, want):
-    assert parse.parse_class(text) == want
+def test_parse_class(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(parse.class_column(F.col("t")).alias("c")).first().c == want
 
 
 def test_parse_explanation(spark):
