@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,36 +24,40 @@ NEGATION = r"\b(not|no|never|without|neither|nor|n't)\b"
 HEDGE = r"\b(may|might|could|possibly|probably|likely|slight|slightly|small|minor|suggest\w*)\b"
 COPIED_RULE = r"NDVI\s*Δ\s*(≤|≥|between)[^→]{0,30}→\s*(decline|increase|stable)"
 
-_SAID = [(name, re.compile(rf"\b(?:{words})\b", re.I)) for name, words in INDICATOR_WORDS.items()]
-_WAYS = [(name, re.compile(rf"\b(?:{words})\b", re.I)) for name, words in DIRECTION_WORDS.items()]
-_NEG, _HEDGE, _RULE = re.compile(NEGATION, re.I), re.compile(HEDGE, re.I), re.compile(COPIED_RULE)
+def _words(words: str) -> str:
+    return rf"(?i)\b(?:{words})\b"
 
 
-def mentions(text: str | None) -> Iterator[dict]:
-    """Each mention of an indicator with the direction that stands near it: the first one after it, else the last one before it;
-    ``direction`` is null where none stands near."""
-    t = text or ""
-    for name, said in _SAID:
-        for m in said.finditer(t):
-            way = BOTH.get(m[0].lower())
-            if way is None:
-                ahead = min(((h.start(), i, w) for i, (w, p) in enumerate(_WAYS) if (h := p.search(t[m.end() : m.end() + AFTER]))), default=None)
-                behind = max(((h.start(), w) for w, p in _WAYS for h in p.finditer(t[max(0, m.start() - BEFORE) : m.start()])), default=None)
-                way = ahead[2] if ahead else behind[1] if behind else None
-            near = t[max(0, m.start() - BEFORE) : m.end() + AFTER]
-            yield {"indicator": name, "direction": way, "start": m.start(), "negation": bool(_NEG.search(near)), "hedge": bool(_HEDGE.search(near)), "copied_rule": bool(_RULE.match(t[m.start() : m.start() + 70]))}
+def _length(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
 
 
-def claims(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """One row for each mention in each text; null and empty texts give none."""
-    kind = dict(df.dtypes)[key]
+def _last_start(t: Column, pattern: str) -> Column:
+    """Where the last match starts, from 0; null without one."""
+    pieces, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    n = F.size(hits)
+    return F.when(n > 0, _length(F.slice(pieces, 1, n)) + _length(F.slice(hits, 1, F.greatest(n - 1, F.lit(0)))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [key, "indicator", "direction", "start", "negation", "hedge", "copied_rule"]
-        for pdf in batches:
-            yield pd.DataFrame([{key: k, **m} for k, t in zip(pdf[key], pdf["_text"]) for m in mentions(t)], columns=cols)
 
-    return df.select(key, text.alias("_text")).mapInPandas(run, f"{key} {kind}, indicator string, direction string, start int, negation boolean, hedge boolean, copied_rule boolean")
+def claims(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """One row for each mention of an indicator in each text, with the direction that stands near it: the first one after it, else the last one
+    before it; ``direction`` is null where none stands near. Null and empty texts give none.
+
+    The pieces between the matches of a pattern give their places, so everything is column expressions.
+    """
+    t = F.coalesce(text, F.lit(""))
+    kinds = [F.struct(F.lit(name).alias("indicator"), F.regexp_extract_all("_t", F.lit(_words(w)), F.lit(0)).alias("hits"), F.split("_t", _words(w), -1).alias("pieces")) for name, w in INDICATOR_WORDS.items()]
+    found = df.select(key, t.alias("_t")).select(key, "_t", F.explode(F.array(*kinds)).alias("g")).filter(F.size("g.hits") > 0)
+    m = found.select(key, "_t", "g.indicator", F.col("g.hits").alias("_h"), F.col("g.pieces").alias("_p"), F.posexplode("g.hits").alias("_i", "_w"))
+    m = m.select(key, "_t", "indicator", "_w", (_length(F.slice("_p", 1, F.col("_i") + 1)) + _length(F.slice("_h", 1, F.col("_i")))).alias("start"))
+    stop, first = F.col("start") + F.length("_w"), F.greatest(F.col("start") - BEFORE, F.lit(0))
+    m = m.withColumns({"_after": F.substring("_t", stop + 1, F.lit(AFTER)), "_before": F.substring("_t", first + 1, F.col("start") - first), "_near": F.substring("_t", first + 1, stop + AFTER - first), "_from": F.substring("_t", F.col("start") + 1, F.lit(70))})
+    said = F.create_map(*[F.lit(x) for kv in BOTH.items() for x in kv])
+    ahead = F.array_min(F.filter(F.array(*[F.struct(F.regexp_instr("_after", F.lit(_words(w))).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("way")) for i, (name, w) in enumerate(DIRECTION_WORDS.items())]), lambda x: x["at"] > 0))
+    behind = F.array_max(F.filter(F.array(*[F.struct(_last_start(F.col("_before"), _words(w)).alias("at"), F.lit(name).alias("way")) for name, w in DIRECTION_WORDS.items()]), lambda x: x["at"].isNotNull()))
+    way = F.coalesce(F.try_element_at(said, F.lower("_w")), ahead["way"], behind["way"])
+    has = lambda c, p: F.regexp_like(c, F.lit(p))
+    return m.select(key, "indicator", way.alias("direction"), "start", has("_near", "(?i)" + NEGATION).alias("negation"), has("_near", "(?i)" + HEDGE).alias("hedge"), has("_from", "^" + COPIED_RULE).alias("copied_rule"))
 
 
 def checked(c: DataFrame, measured: DataFrame, key: str) -> DataFrame:

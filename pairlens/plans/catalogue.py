@@ -608,19 +608,61 @@ def _checked(spark: SparkSession, d: str) -> DataFrame:
     return C.checked(c, m, "row_id")
 
 
-@query()
+def _claims_sql() -> str:
+    """Mentions of indicators with the direction near them, from the pieces between matches."""
+    word = lambda w: f"'(?i)\\b(?:{w})\\b'"
+    size = lambda parts: f"coalesce(list_sum(list_transform({parts}, lambda x: length(x))), 0)::int"
+    kinds = " union all ".join(f"select row_id, t, '{name}' as indicator, regexp_extract_all(t, {word(w)}) as h, string_split_regex(t, {word(w)}) as p from x" for name, w in C.INDICATOR_WORDS.items())
+    ahead = ", ".join(f"case when regexp_matches(a, {word(w)}) then {{'at': length(string_split_regex(a, {word(w)})[1]), 'i': {i}, 'way': '{name}'}} end" for i, (name, w) in enumerate(C.DIRECTION_WORDS.items()))
+    last = lambda w: f"{size(f'string_split_regex(b, {word(w)})[:-2]')} + {size(f'regexp_extract_all(b, {word(w)})[:-2]')}"
+    behind = ", ".join(f"case when regexp_matches(b, {word(w)}) then {{'at': {last(w)}, 'way': '{name}'}} end" for name, w in C.DIRECTION_WORDS.items())
+    both = " ".join(f"when '{k}' then '{v}'" for k, v in C.BOTH.items())
+    read = " union all ".join(f"select row_id, '{k}' as indicator, {k} as delta from cards" for k in ("NDVI", "EVI", "NDMI", "NBR", "VV", "temperature"))
+    bands = " ".join(f"when '{k}' then {v}" for k, v in S.DEAD_BANDS.items())
+    some = lambda c: f"nullif({c}, '')"
+    joined = lambda c: f"nullif(array_to_string(list_filter({c}, lambda y: y <> ''), ' '), '')"
+    fields = f"concat_ws(' ', {some('parsed.justification')}, {joined('parsed.supporting_evidence')}, {joined('parsed.conflicting_evidence')}, {some('parsed.visual_change')}, {some('parsed.possible_driver')})"
+    return f"""with x as (select row_id, coalesce(nullif(trim(regexp_replace({fields}, ' +', ' ', 'g'), ' '), ''), raw_text, '') as t from predictions_explain),
+g as ({kinds}), m as (select row_id, t, indicator, h, p, unnest(range(1, len(h) + 1)) as i from g where len(h) > 0),
+n as (select row_id, t, indicator, h[i] as w, {size('p[1:i]')} + {size('h[1:i - 1]')} as start from m),
+o as (select *, substring(t, start + length(w) + 1, 40) as a, substring(t, greatest(start - 30, 0) + 1, start - greatest(start - 30, 0)) as b, substring(t, greatest(start - 30, 0) + 1, start + length(w) + 40 - greatest(start - 30, 0)) as near, substring(t, start + 1, 70) as f from n),
+d as (select row_id, indicator, start, coalesce(case lower(w) {both} end, list_min([{ahead}]).way, list_max([{behind}]).way) as direction, regexp_matches(near, '(?i){C.NEGATION.replace("'", "''")}') as negation, regexp_matches(near, '(?i){C.HEDGE}') as hedge, regexp_matches(f, '^{C.COPIED_RULE}') as copied_rule from o),
+cards as (select row_id, {', '.join(_rx(v[0]) + ' as ' + k for k, v in X.READINGS.items())} from predictions_explain),
+r as ({read} union all select row_id, 'rainfall', rain_t1 - rain_t0 from cards),
+k as (select d.*, r.delta, case when r.delta is null then null when abs(r.delta) < (case d.indicator {bands} end) then 'stable' when r.delta > 0 then 'increase' else 'decrease' end as measured from d left join r on r.row_id = d.row_id and r.indicator = d.indicator),
+e as (select *, direction = measured as consistent, case when direction = measured then '' when measured = 'stable' then case when (direction = 'increase' and delta > 0) or (direction = 'decrease' and delta < 0) then 'within_deadband_same_sign' else 'within_deadband_opposite_sign' end
+  when direction = 'stable' then 'said_stable_beyond_deadband' when direction <> measured then 'beyond_deadband_opposite_sign' end as error_type from k)"""
+
+
+_CLAIMS = _claims_sql()
+
+
+@query(_CLAIMS + " select row_id, indicator, start, direction, measured, consistent, error_type, negation, hedge, copied_rule from e where direction is not null")
 def q_claims(spark: SparkSession, d: str) -> DataFrame:
     """Directional claims of each answer against its measured changes."""
     return _checked(spark, d).filter("direction is not null").select("row_id", "indicator", "start", "direction", "measured", "consistent", "error_type", "negation", "hedge", "copied_rule")
 
 
-@query()
+_SCORES = (
+    _CLAIMS
+    + """, s as (select row_id, count(consistent) as n, count(*) filter (consistent) as c from e where direction is not null group by 1),
+w as (select row_id, direction, count(*) as m from e where direction is not null group by 1, 2), v as (select row_id, case when count(*) = 1 then any_value(direction) end as dominant from w where (row_id, m) in (select (row_id, max(m)) from w group by row_id) group by 1),
+z as (select p.row_id, p.gold, p.pred, coalesce(n, 0) as n_claims, coalesce(c, 0) as n_correct, c / nullif(n, 0) as faithfulness, coalesce(n, 0) > coalesce(c, 0) as has_wrong_claim, dominant = case pred when 'decline' then 'decrease' when 'increase' then 'increase' when 'stable' then 'stable' end as self_consistent
+  from predictions_explain p left join s using (row_id) left join v using (row_id))"""
+)
+
+
+@query(_SCORES + " select row_id, n_claims, n_correct, faithfulness, has_wrong_claim, self_consistent from z")
 def q_claim_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scored claims, consistency and self-consistency of each answer."""
     return C.scores(_checked(spark, d), table(spark, d, "predictions_explain").select("row_id", "pred"), "row_id")
 
 
-@query()
+@query(
+    _CLAIMS
+    + """ select combo_id as run, case when direction is null then 'unscored_no_direction' when consistent is null then 'unscored_no_measurement' when consistent then 'consistent' else error_type end as kind, count(*) as n,
+ sum(copied_rule::int)::bigint as n_copied_rule, sum(negation::int)::bigint as n_negation, sum(hedge::int)::bigint as n_hedge from e join predictions_explain using (row_id) group by 1, 2"""
+)
 def q_claim_audit(spark: SparkSession, d: str) -> DataFrame:
     """Counts of claims by run and kind of error, with and without copied rules."""
     runs = table(spark, d, "predictions_explain").select("row_id", F.col("combo_id").alias("run"))
@@ -629,12 +671,22 @@ def q_claim_audit(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("run", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("copied_rule").cast("long")).alias("n_copied_rule"), F.sum(F.col("negation").cast("long")).alias("n_negation"), F.sum(F.col("hedge").cast("long")).alias("n_hedge"))
 
 
-@query()
-def q_teacher_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Answers fit to teach: the right class, two claims at least, all of them consistent."""
+def _teacher(spark: SparkSession, d: str, least: int) -> DataFrame:
     p = table(spark, d, "predictions_explain").select("row_id", "gold", "pred")
     s = C.scores(_checked(spark, d), p, "row_id")
-    return p.join(s, "row_id").filter((F.col("pred") == F.col("gold")) & (F.col("n_claims") >= 2) & (F.col("faithfulness") == 1.0)).select("row_id", "n_claims")
+    return p.join(s.drop("gold", "pred"), "row_id").filter((F.col("pred") == F.col("gold")) & (F.col("n_claims") >= least) & (F.col("faithfulness") == 1.0)).select("row_id", "n_claims")
+
+
+@query(_SCORES + " select row_id, n_claims from z where pred = gold and n_claims >= 2 and faithfulness = 1.0")
+def q_teacher_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Answers fit to teach: the right class, two claims at least, all of them consistent."""
+    return _teacher(spark, d, 2)
+
+
+@query(_SCORES + " select row_id, n_claims from z where pred = gold and n_claims >= 1 and faithfulness = 1.0")
+def q_teacher_filter_one(spark: SparkSession, d: str) -> DataFrame:
+    """The same with one claim at least, as answers here seldom make two."""
+    return _teacher(spark, d, 1)
 
 
 _RULES = {"has_text": "text is not null and length(text) > 0", "has_lang": "lang is not null and lang = lower(lang)", "length_kept": "n_chars is not null and n_chars = length(text)", "in_order": "ingested_at >= created_at"}
