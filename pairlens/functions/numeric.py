@@ -71,12 +71,28 @@ def wilson(k: Column, n: Column, z: float = S.WILSON_Z) -> tuple[Column, Column]
     return mid - half, mid + half
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number, by Stirling's series eight places above it."""
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    shift = sum((F.log(x + k) for k in range(1, 8)), F.log(x))
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - shift  # half the logarithm of 2 pi
+
+
+#: Standard deviations of the binomial tail that are summed; what lies beyond is less than a double can tell.
+TAIL_DEVIATIONS = 20
+
+
 def mcnemar_p(b: Column, c: Column) -> Column:
     """Exact two-sided McNemar p of the discordant counts; 1 where there are none.
 
-    The binomial tail is summed in log space: C(n, j+1) = C(n, j) (n - j) / (j + 1).
+    The binomial tail is summed from its largest term down, C(n, j - 1) = C(n, j) j / (n - j + 1), over as many terms as matter: a number that
+    grows with the root of the counts.
     """
-    n, k = (b + c).cast("double"), F.least(b, c).cast("int")
-    start = F.struct(F.lit(0.0).alias("s"), (-n * F.log(F.lit(2.0))).alias("l"))
-    tail = F.aggregate(F.sequence(F.lit(0), k), start, lambda a, j: F.struct((a["s"] + F.exp(a["l"])).alias("s"), F.coalesce(a["l"] + F.log(F.nullif(n - j, F.lit(0.0)) / (j + 1)), F.lit(-1e300)).alias("l")), lambda a: a["s"])
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
+    top = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) - n * F.log(F.lit(2.0))
+    terms = F.least(k, F.ceil(F.sqrt(n) * TAIL_DEVIATIONS).cast("double")).cast("int")
+    start = F.struct(F.lit(0.0).alias("s"), top.alias("l"))
+    step = lambda a, j: F.struct((a["s"] + F.exp(a["l"])).alias("s"), F.coalesce(a["l"] + F.log(F.nullif(k - j, F.lit(0.0)) / (n - k + j + 1)), F.lit(-1e300)).alias("l"))
+    tail = F.aggregate(F.sequence(F.lit(0), terms), start, step, lambda a: a["s"])
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))

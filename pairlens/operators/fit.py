@@ -13,11 +13,11 @@ from pairlens.schemas import MODEL_CLASSES
 def threshold_fit(df: DataFrame, value: str, low_below: float = 0.01) -> DataFrame:
     """The two cut-offs (``lo`` < ``hi``, ``lo`` < ``low_below``) among the values that give the most hits, as one row with ties.
 
-    ``value`` is taken as it is and needs a bounded number of digits: rows are first counted by value and class, and running sums
+    ``value`` is rounded to four digits, so its distinct values are bounded by its range: rows are first counted by value and class, and running sums
     and maxima over the distinct values, in one task, find the best pair without forming pairs. Ties go to the smaller lo, then hi; ``n_best`` counts them.
     Null values and golds are left out; without a candidate pair there is no row.
     """
-    c = df.filter(F.col(value).isNotNull() & F.col("gold").isNotNull()).groupBy(F.col(value).alias("v")).agg(*[F.sum((F.col("gold") == k).cast("long")).alias(k) for k in ("decline", "stable", "increase")], F.count(F.lit(1)).alias("n"))
+    c = df.filter(F.col(value).isNotNull() & F.col("gold").isNotNull()).groupBy(F.round(F.col(value), 4).alias("v")).agg(*[F.sum((F.col("gold") == k).cast("long")).alias(k) for k in ("decline", "stable", "increase")], F.count(F.lit(1)).alias("n"))
     steps = Window.orderBy("v")  # distinct steps of the scale, not rows
     to_here, before = steps.rowsBetween(Window.unboundedPreceding, 0), steps.rowsBetween(Window.unboundedPreceding, -1)
     under = lambda k: F.coalesce(F.sum(k).over(before), F.lit(0))

@@ -547,7 +547,16 @@ def q_render(spark: SparkSession, d: str) -> DataFrame:
     return c.select("row_id", E.compact_table({k: F.col(k) for k in X.READINGS}).alias("card"))
 
 
-@query()
+_CARD = f"""concat('NDVI ', {_f('ndvi_t0', 3)}, ' -> ', {_f('ndvi_t1', 3)}, ' (Δ ', {_f('NDVI', 3, True)}, ')', chr(10), 'EVI Δ ', {_f('EVI', 3, True)}, ' | NDMI Δ ', {_f('NDMI', 3, True)}, ' | NBR Δ ', {_f('NBR', 3, True)}, chr(10),
+ 'SAR VV Δ ', {_f('VV', 2, True)}, ' dB', chr(10), 'Rainfall ', {_f('rain_t0', 1)}, ' -> ', {_f('rain_t1', 1)}, ' mm', chr(10), 'Temperature anomaly ', {_f('temperature', 1, True)}, ' °C')"""
+_FACTS = f"""list_filter([case when ndvi_t0 is not null and ndvi_t1 is not null then concat('Mean NDVI was ', {_f('ndvi_t0', 3)}, ' first and ', {_f('ndvi_t1', 3)}, ' second (Δ ', {_f('NDVI', 3, True)}, ').') end,
+ case when EVI is not null then concat('EVI change (Δ) was ', {_f('EVI', 3, True)}, '.') end, case when NDMI is not null then concat('NDMI change (Δ) was ', {_f('NDMI', 3, True)}, '.') end,
+ case when rain_t0 is not null and rain_t1 is not null then concat('Rainfall was ', {_f('rain_t0', 1)}, ' mm first and ', {_f('rain_t1', 1)}, ' mm second.') end, case when VV is not null then concat('SAR VV backscatter change was ', {_f('VV', 2, True)}, ' dB.') end], lambda x: x is not null)"""
+_READINGS = f"with c as (select row_id, prompt_text, gold, raw_text, {', '.join(_rx(v[0]) + ' as ' + k for k, v in X.READINGS.items())} from predictions_explain)"
+_HINT = f"case when NDVI is null then '{L.HINTS[0]}' when NDVI <= -0.02 then '{L.HINTS[1]}' when NDVI >= 0.02 then '{L.HINTS[2]}' else '{L.HINTS[3]}' end"
+
+
+@query(_READINGS + f", f as (select *, {_FACTS} as facts from c) select row_id, concat({_CARD}, chr(10), chr(10), 'ALLOWED_FACTS:', chr(10), coalesce(array_to_string(list_transform(range(1, len(facts) + 1), lambda i: concat(i, '. ', facts[i])), chr(10)), ''), chr(10), 'CLASS_RULE: ', {_HINT}) as card from f")
 def q_render_structured(spark: SparkSession, d: str) -> DataFrame:
     """Table, numbered facts and rule of each prompt's readings."""
     c = _cards(spark, d)

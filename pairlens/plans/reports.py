@@ -15,7 +15,7 @@ from pairlens.operators import evidence as E
 from pairlens.operators import geometry, inference, metrics, period
 from pairlens.operators.permutation import same_label_test
 from pairlens.operators.spatial import located
-from pairlens.plans.catalogue import _CLEAN, _DN, _LOC, _NUM, PAIRS, _cards, _preds
+from pairlens.plans.catalogue import _CARD, _CLEAN, _DN, _LOC, _NUM, _READINGS, _TESTS, PAIRS, _cards, _preds
 from pairlens.session import materialize
 from pairlens.sources.tables import table
 
@@ -147,7 +147,16 @@ def q_display(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions_explain").select("row_id", F.substring(F.trim(t), 1, 200).alias("shown"), (F.length(t) > 2000).alias("cut"))
 
 
-@query()
+_NAMES = "candidate_class|vegetation_trend|reference_class|partial_mismatch"
+_SCRUB = f"""trim(array_to_string(list_filter(list_transform(list_filter(string_split(coalesce(prompt_text, ''), chr(10)), lambda x: not starts_with(trim(lower(x), ' '), 'inference for') and not starts_with(trim(lower(x), ' '), 'respond with class')),
+ lambda x: rtrim(regexp_replace(regexp_replace(x, '(?i)({_NAMES})\\s*=\\s*\\S+', '', 'g'), '(?i)\\b({_NAMES})\\b', '', 'g'), ' ')), lambda x: length(trim(x, ' ')) > 0), chr(10)), ' ')"""
+
+
+@query(
+    _READINGS
+    + f""" select row_id, prompt_text as "full", {_SCRUB} as evidence_only, {_CARD} as compact, 'Judge the change from the images only.' as minimal,
+ concat('{{"change_class": ', to_json(coalesce(gold, 'unknown')), ', "vegetation_trend": null, "disturbance_present": false, "explanation": ', to_json(coalesce(raw_text, '')), '}}') as target from c"""
+)
 def q_prompt_modes(spark: SparkSession, d: str) -> DataFrame:
     """Each prompt in its four modes: full, scrubbed, compact card, minimal; and its target object."""
     p = table(spark, d, "predictions_explain")
@@ -155,7 +164,10 @@ def q_prompt_modes(spark: SparkSession, d: str) -> DataFrame:
     return c.select("row_id", F.col("prompt_text").alias("full"), X.scrubbed(F.col("prompt_text")).alias("evidence_only"), E.compact_table({k: F.col(k) for k in X.READINGS}).alias("compact"), F.lit("Judge the change from the images only.").alias("minimal"), E.target_json(F.col("gold"), F.lit(None).cast("string"), F.lit(False), F.col("raw_text")).alias("target"))
 
 
-@query()
+_ON_RULE = _TESTS.replace("from predictions_explain)", f"from predictions_explain where gold = case when {_DN} <= -0.02 then 'decline' when {_DN} >= 0.02 then 'increase' else 'stable' end and {_DN} is not null)", 1)
+
+
+@query(_ON_RULE + " select family, run_a, run_b, n, b, c, round(p, 8) as p from p")
 def q_sensitivity_tests(spark: SparkSession, d: str) -> DataFrame:
     """Unadjusted paired tests on the rows whose label is on the rule (the exact test has SQL in q_mcnemar)."""
     from pairlens.functions.labels import two_threshold
@@ -164,4 +176,4 @@ def q_sensitivity_tests(spark: SparkSession, d: str) -> DataFrame:
     on = _cards(spark, d).filter(two_threshold(F.col("NDVI")) == F.col("gold")).select("row_id")
     p = _preds(spark, d).join(on, "row_id", "left_semi").withColumn("_key", F.concat_ws(" ", "run", "id"))
     one = keyed(p.withColumn("_order", F.struct("generated_at", "row_id")), "_key", "_order")
-    return inference.paired_runs(one, spark.createDataFrame(PAIRS, "family string, run_a string, run_b string"))
+    return inference.paired_runs(one, spark.createDataFrame(PAIRS, "family string, run_a string, run_b string")).withColumn("p", F.round("p", 8))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions
 
 _shipped: set[str] = set()
+_written: set[str] = set()
 
 
 def build_session(app: str = "pairlens", master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
@@ -45,10 +50,38 @@ def shared_dir(spark: SparkSession) -> str:
     if not _is_single_machine(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = os.path.join(tempfile.gettempdir(), "pairlens-shared-" + spark.sparkContext.applicationId)
-    os.makedirs(made, exist_ok=True)
+    if not os.path.isdir(made):
+        os.makedirs(made)
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
     return "file://" + made
 
 
+def clear_tables(spark: SparkSession, since: set[str] | None = None) -> None:
+    """Delete the tables that :func:`materialize` wrote, or those that it wrote after ``since`` (from :func:`written_tables`).
+
+    DataFrames that still read them fail afterwards, so call it once their results are stored.
+    """
+    for path in written_tables(spark) - (since or set()):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written.discard(path)
+
+
+def written_tables(spark: SparkSession) -> set[str]:
+    """Paths of the intermediate tables of this process that are still there."""
+    return {p for p in _written if p.startswith(shared_dir(spark))}
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope whose intermediate tables are deleted at its end: store results inside of it."""
+    before = written_tables(spark)
+    try:
+        yield
+    finally:
+        clear_tables(spark, before)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut lineage: write ``df`` once as a table in the shared folder and read it back.
 
@@ -57,6 +90,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,7 +112,10 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    out = Path(tempfile.mkdtemp()) / "pairlens.zip"
+    # Spark copies the archive to its own file server, so the folder is only needed for that.
+    folder = Path(tempfile.mkdtemp())
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = folder / "pairlens.zip"
     with zipfile.ZipFile(out, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))

@@ -80,3 +80,29 @@ def test_paired_runs(spark):
 def test_dominant_ties(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "z")], "k int, v string")
     assert sorted((r.k, r.v, r.n) for r in dominant(df, ["k"], "v").collect()) == [(1, "a", 1), (3, "z", 1)]
+
+
+def test_mcnemar_at_any_size(spark):
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    from pairlens.functions.numeric import mcnemar_p
+
+    pairs = [(0, 0), (1, 0), (3, 3), (10, 2), (40, 60), (500, 430), (0, 700)]
+    df = spark.createDataFrame(pairs, "b long, c long").select("b", "c", mcnemar_p(F.col("b"), F.col("c")).alias("p"))
+    for r in df.collect():
+        n, k = r.b + r.c, min(r.b, r.c)
+        want = 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, j) for j in range(k + 1)) / 2**n)
+        assert abs(r.p - want) <= 1e-9 * want + 1e-300
+    wide = spark.createDataFrame([(500_000_000, 500_040_000)], "b long, c long").select(mcnemar_p(F.col("b"), F.col("c")).alias("p")).first().p
+    assert 0.2 < wide < 0.21  # the normal tail beyond 1.265 deviations, twice
+
+
+def test_scratch_tables_go(spark):
+    from pairlens.session import materialize, scratch, written_tables
+
+    with scratch(spark):
+        t = materialize(spark.range(3), "gone")
+        assert t.count() == 3 and any("gone" in p for p in written_tables(spark))
+    assert not any("gone" in p for p in written_tables(spark))
