@@ -501,9 +501,25 @@ def q_distinct2(spark: SparkSession, d: str) -> DataFrame:
     return O.distinct_2(t, F.col("text"), ["lang"]).select("lang", "n_distinct", F.coalesce("n_total", F.lit(0)).alias("n_total"), F.round("distinct_2", 9).alias("distinct_2"))
 
 
-@query()
+def _explanation_sql() -> str:
+    """The fields of a parsed answer in one text, or the raw text."""
+    some = lambda c: f"nullif({c}, '')"
+    joined = lambda c: f"nullif(array_to_string(list_filter({c}, lambda y: y <> ''), ' '), '')"
+    fields = f"concat_ws(' ', {some('parsed.justification')}, {joined('parsed.supporting_evidence')}, {joined('parsed.conflicting_evidence')}, {some('parsed.visual_change')}, {some('parsed.possible_driver')})"
+    return f"coalesce(nullif(trim(regexp_replace({fields}, ' +', ' ', 'g'), ' '), ''), raw_text, '')"
+
+
+_EXPLANATION = _explanation_sql()
+
+
+@query(f"""with recursive t as (select row_id, combo_id as run, regexp_extract_all(lower({_EXPLANATION}), '[a-z0-9]+') as h, regexp_extract_all(lower(coalesce(prompt_text, '')), '[a-z0-9]+') as r from predictions_explain),
+s(row_id, i, h, r, line) as (select row_id, 0, h, r, list_transform(r, lambda x: 0) from t where len(h) > 0 and len(r) > 0
+ union all select row_id, i + 1, h, r, list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(line[k], coalesce(line[k - 1], 0) + (r[k] = h[i + 1])::int)))) from s where i < len(h)),
+f as (select row_id, line[len(r)]::double as k, len(h) as n, len(r) as m from s where i = len(h)),
+g as (select run, case when k > 0 then 2 * (k / n) * (k / m) / (k / n + k / m) else 0.0 end as f1 from t left join f using (row_id))
+select run, count(*) as n, round(avg(f1), 6) as rouge_l from g group by 1""")
 def q_rouge(spark: SparkSession, d: str) -> DataFrame:
-    """ROUGE-L of each answer against its prompt, averaged by run (tested against a plain table)."""
+    """ROUGE-L of each answer against its prompt, averaged by run."""
     p = table(spark, d, "predictions_explain")
     return p.groupBy(F.col("combo_id").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(O.rouge_l(X.justification(F.col("parsed"), F.col("raw_text")), F.col("prompt_text"))), 6).alias("rouge_l"))
 
@@ -628,10 +644,7 @@ def _claims_sql() -> str:
     both = " ".join(f"when '{k}' then '{v}'" for k, v in C.BOTH.items())
     read = " union all ".join(f"select row_id, '{k}' as indicator, {k} as delta from cards" for k in ("NDVI", "EVI", "NDMI", "NBR", "VV", "temperature"))
     bands = " ".join(f"when '{k}' then {v}" for k, v in S.DEAD_BANDS.items())
-    some = lambda c: f"nullif({c}, '')"
-    joined = lambda c: f"nullif(array_to_string(list_filter({c}, lambda y: y <> ''), ' '), '')"
-    fields = f"concat_ws(' ', {some('parsed.justification')}, {joined('parsed.supporting_evidence')}, {joined('parsed.conflicting_evidence')}, {some('parsed.visual_change')}, {some('parsed.possible_driver')})"
-    return f"""with x as (select row_id, coalesce(nullif(trim(regexp_replace({fields}, ' +', ' ', 'g'), ' '), ''), raw_text, '') as t from predictions_explain),
+    return f"""with x as (select row_id, {_EXPLANATION} as t from predictions_explain),
 g as ({kinds}), m as (select row_id, t, indicator, h, p, unnest(range(1, len(h) + 1)) as i from g where len(h) > 0),
 n as (select row_id, t, indicator, h[i] as w, {size('p[1:i]')} + {size('h[1:i - 1]')} as start from m),
 o as (select *, substring(t, start + length(w) + 1, 40) as a, substring(t, greatest(start - 30, 0) + 1, start - greatest(start - 30, 0)) as b, substring(t, greatest(start - 30, 0) + 1, start + length(w) + 40 - greatest(start - 30, 0)) as near, substring(t, start + 1, 70) as f from n),
@@ -779,10 +792,16 @@ def q_leak_mechanism(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("run").agg(F.count(F.lit(1)).alias("n"), n(apart).alias("disagree"), n(apart & (F.col("pred") == F.col("tc"))).alias("follows_trend"), n(apart & (F.col("pred") == F.col("gold"))).alias("follows_label"))
 
 
-@query()
+@query("""with e as (select vec_id, list_transform(embedding, lambda v: case when v < 0 then -v::double else 0.0::double end) as d from embeddings), s as (select vec_id, d, list_filter(d, lambda x: x > 0) as p from e),
+m as (select *, list_min(p) as lo, list_max(p) as hi, len(p) >= 16 as enough from s),
+c as (select vec_id, b, lo, hi, lo + (b + 0.5) * (hi - lo) / 256 as centre, count(*) as n from (select vec_id, lo, hi, least(floor((unnest(p) - lo) / (hi - lo) * 256), 255)::int as b from m where enough and hi > lo) group by 1, 2, 3, 4),
+w as (select vec_id, b, centre, sum(n) over u as below, sum(n * centre) over u as mass, sum(n) over v as tot, sum(n * centre) over v as whole from c window u as (partition by vec_id order by b), v as (partition by vec_id)),
+k as (select vec_id, centre, row_number() over (partition by vec_id order by below * (tot - below) * pow(mass / below - (whole - mass) / (tot - below), 2) desc, b) as r from w where below < tot),
+t as (select m.vec_id, d, enough, case when enough and hi = lo then hi when enough then centre end as cut from m left join k on k.vec_id = m.vec_id and r = 1)
+select vec_id, round(cut, 3) as threshold, case when cut is null then 0 else len(list_filter(d, lambda x: x >= cut)) end::int as n_mask, round(case when cut is null then 0.0 else len(list_filter(d, lambda x: x >= cut)) / len(d) end, 9) as share from t""")
 def q_otsu(spark: SparkSession, d: str) -> DataFrame:
-    """Otsu mask of each embedding read as 64 pixels (tested on small rasters)."""
-    return raster.otsu_scenes(table(spark, d, "embeddings"), "vec_id", "embedding")
+    """Otsu mask of each embedding read as 64 pixels."""
+    return raster.otsu_scenes(table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", F.round("threshold", 3).alias("threshold"), "n_mask", F.round("share", 9).alias("share"))
 
 
 @query("select vec_id, round(list_sum(embedding::double[]) / 64, 4) as native_mean, round(list_sum(embedding::double[]) / 81, 4) as padded_mean from embeddings")
