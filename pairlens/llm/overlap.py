@@ -34,10 +34,10 @@ def overlap_links(held_out: DataFrame, train: DataFrame, by: list[str], metres:
     no pairs of rows are formed: ``n_record`` sums the rows of a hash, ``n_spot`` those of the places near by, and what is both counts once in
     ``n_links``. With ``rec_id`` in ``by`` each row comes by itself. Rows without an overlap come with zeros.
     """
-    place = lambda df: df.select("*", record_hash(F.col("record")).alias("_hash")).select("*", F.concat_ws(" ", F.coalesce(F.hex("_hash"), F.lit("-")), F.coalesce(F.col("lon").cast("string"), F.lit("-")), F.coalesce(F.col("lat").cast("string"), F.lit("-"))).alias("_place"))
+    place = lambda df, keep: df.select(*keep, "record", "lon", "lat").withColumn("_hash", record_hash(F.col("record"))).withColumn("_place", F.concat_ws(" ", F.coalesce(F.hex("_hash"), F.lit("-")), F.coalesce(F.col("lon").cast("string"), F.lit("-")), F.coalesce(F.col("lat").cast("string"), F.lit("-"))))
     fold = lambda df, name: materialize(df.groupBy("_place").agg(F.first("_hash").alias("_hash"), F.first("lon").alias("lon"), F.first("lat").alias("lat"), F.count(F.lit(1)).alias("n")).withColumn("_id", F.monotonically_increasing_id()), name)
-    held = place(held_out)
-    h, t = fold(held, "held"), fold(place(train), "train")
+    held = place(held_out, by)
+    h, t = fold(held, "held"), fold(place(train, []), "train")
     near = near_join(h, t, metres, "_id", "_id").select("id_l", "id_r")
     near = lookup_join(near, t.select(F.col("_id").alias("id_r"), F.col("_hash").alias("hash_r"), "n"), ["id_r"], F.col("id_l"))
     near = lookup_join(near, h.select(F.col("_id").alias("id_l"), F.col("_hash").alias("hash_l")), ["id_l"], F.col("id_r"))

@@ -178,3 +178,21 @@ def test_long_class_answers_and_languages():
     assert only_class("decline" + " " * 100 + "**")
     assert language_of("Il bosco è stato tagliato dopo il primo inverno e la vegetazione della collina è cambiata") == "it"
     assert language_of("Het bos werd voor een deel gekapt en de bodem is nog niet hersteld") == "nl"
+
+
+def test_links_of_empty_tables_and_clashing_names(spark):
+    schema = "rec_id long, record string, lon double, lat double, _hash string, _place int, n int"
+    h = spark.createDataFrame([(1, "p 1", 10.0, 5.0, "x", 1, 1), (2, None, None, None, None, None, None)], schema)
+    got = {r.rec_id: r.n_links for r in overlap.overlap_links(h, h.withColumn("rec_id", F.col("rec_id") + 10), ["rec_id"]).collect()}
+    assert got == {1: 1, 2: 0}
+    assert overlap.overlap_links(h.limit(0), h, ["rec_id"]).count() == 0
+    assert {r.n_links for r in overlap.overlap_links(h, h.limit(0), ["rec_id"]).collect()} == {0}
+
+
+def test_samples_of_nothing(spark):
+    schema = "mix_id int, study_area string, sample_rows int, candidate_class string, target_share double, min_rows int"
+    df = spark.createDataFrame([(1, "a", "n", None)], "patch long, candidate_class string, study_area string, trend string")
+    mix = spark.createDataFrame([(1, None, None, "a", None, None), (2, "nowhere", 5, " A ", 1.0, 1)], schema)
+    report = {r.mix_id: (r.need, r.supply, r.drawn, r.gap) for r in raking.raked_sample(df, mix)[1].collect()}
+    assert report == {1: (0, 1, 0, 0), 2: (5, 0, 0, 5)}
+    assert raking.raked_sample(df, mix.limit(0))[1].count() == 0
