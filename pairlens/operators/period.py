@@ -102,9 +102,13 @@ def masked_fraction(obs: DataFrame, keys: Sequence[str], valid: Column) -> DataF
 def region_means(places: DataFrame, obs: DataFrame, radius_m: float, key: str, value: str) -> DataFrame:
     """(``key``, ``n``, ``mean``) of the observations within a radius of each place, whatever their number.
 
-    Both sides need ``lon`` and ``lat``, the observations an ``obs_id``; places without observations give no row.
+    Both sides need ``lon`` and ``lat``; places without observations give no row. Observations at one spot are summed first, and the
+    sums travel with the spot, so nothing is joined back.
     """
-    from pairlens.operators.spatial import near_join
+    from pairlens.operators.spatial import located, near_join
 
-    hits = near_join(places, obs, radius_m, key, "obs_id").select(F.col("id_l").alias(key), F.col("id_r").alias("obs_id"))
-    return hits.join(obs.select("obs_id", value), "obs_id").groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    sums = F.struct(F.count(value).alias("n"), F.sum(value).alias("s")).alias("spot")
+    spots = obs.filter(located(F.col("lon"), F.col("lat"))).groupBy("lon", "lat").agg(sums)
+    hits = near_join(places, spots, radius_m, key, "spot")
+    g = hits.groupBy(F.col("id_l").alias(key)).agg(F.sum("id_r.n").alias("n"), F.sum("id_r.s").alias("s"))
+    return g.select(key, "n", (F.col("s") / F.nullif(F.col("n"), F.lit(0))).alias("mean"))
