@@ -81,7 +81,7 @@ def _prototypes(raw: bytes) -> dict[str, str]:
 def look_alike_letters() -> dict[str, str]:
     """Letters that look like another one, and that one: an ASCII letter of the same case where there is one, else their prototype.
 
-    Only single letters count; ASCII letters, raised and lowered ones and those whose only likeness has another case stay.
+    Only single letters count; ASCII letters, raised and lowered ones, the parts of Korean syllables and those whose only likeness has another case stay.
     """
     proto = _prototypes(_confusable_bytes())
     plain: dict[tuple[str, str], str] = {}
@@ -92,7 +92,7 @@ def look_alike_letters() -> dict[str, str]:
     for c, p in proto.items():
         kind, tag = unicodedata.category(c), unicodedata.decomposition(c).split(" ")[0]
         p = unicodedata.normalize("NFD", p)
-        if c.isascii() or kind[0] != "L" or kind == "Lm" or len(p) != 1 or tag in ("<super>", "<sub>", "<circle>", "<square>"):
+        if c.isascii() or 0x1100 <= ord(c) <= 0x11FF or 0xA960 <= ord(c) <= 0xA97F or 0xD7B0 <= ord(c) <= 0xD7FF or kind[0] != "L" or kind == "Lm" or len(p) != 1 or tag in ("<super>", "<sub>", "<circle>", "<square>"):
             continue
         other = unicodedata.category(p)
         if kind in ("Lu", "Ll"):

@@ -196,3 +196,10 @@ def test_samples_of_nothing(spark):
     report = {r.mix_id: (r.need, r.supply, r.drawn, r.gap) for r in raking.raked_sample(df, mix)[1].collect()}
     assert report == {1: (0, 1, 0, 0), 2: (5, 0, 0, 5)}
     assert raking.raked_sample(df, mix.limit(0))[1].count() == 0
+
+
+def test_every_character_by_itself():
+    for cp in [*range(0x80, 0xD800), *range(0xE000, 0x20000)]:
+        c = chr(cp)
+        form = unify.canonical_text(c)
+        assert form == unify.whole_text_form(c) and unify.canonical_text(form) == form, hex(cp)
