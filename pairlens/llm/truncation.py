@@ -41,6 +41,7 @@ PACK_CHARS = 500_000
 BEHIND_SIGN = 100
 
 _NAME = re.compile(r"\b[A-ZÀ-ÖØ-ÞĀ-Ž][a-zß-öø-ÿā-ž]{2,}\b")
+_BLANK = re.compile(r"\s")
 _BEGIN, _END = "\x02", "\x03"
 _CLOSERS = ")]\"'”»*_`"
 _SIGNS = ENDERS.replace("…", "") + ")]}"
@@ -127,16 +128,21 @@ def _word_starts(p: _Packed, at: np.ndarray, back: bool) -> np.ndarray:
     return np.where(nth > 0, np.maximum(first[np.maximum(nth - 1, 0)], p.begin[at]), p.begin[at])
 
 
-def _word_events(p: _Packed, back: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and stop of each beginning of a word, and whether it is the whole word; words cut by a text's end are left out."""
+def _word_events(p: _Packed, back: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop, wholeness and number of each beginning of a word, equal words folded; and where each word starts, and its letters.
+
+    A beginning starts at its word, or with ``back`` at the word before it. Words cut by a text's end are left out.
+    """
     k = p.kind == 1
-    inside = np.flatnonzero(k)
-    start = _word_starts(p, inside, back)
-    last = np.flatnonzero(k & ~np.concatenate([k[1:], [False]]))
-    stop = last[np.searchsorted(last, inside, "left")] + 1
-    keep = p.c[stop] != ord(_END)
-    keep &= ~((p.c[stop] == ord(".")) & (p.c[stop + 1] == ord(".")))
-    return start[keep], inside[keep] + 1, (inside[keep] + 1) == stop[keep]
+    first = np.flatnonzero(k & ~np.concatenate([[False], k[:-1]]))
+    stop = np.flatnonzero(k & ~np.concatenate([k[1:], [False]])) + 1
+    begin = _word_starts(p, first, True) if back else first
+    keep = (p.c[stop] != ord(_END)) & ~((p.c[stop] == ord(".")) & (p.c[stop + 1] == ord(".")))
+    first, stop, begin = first[keep], stop[keep], begin[keep]
+    _, one, n = np.unique(p.hash(begin, stop), return_index=True, return_counts=True)
+    letters = stop[one] - first[one]
+    upto = np.repeat(first[one], letters) + np.arange(int(letters.sum())) - np.repeat(np.cumsum(letters) - letters, letters) + 1
+    return np.repeat(begin[one], letters), upto, upto == np.repeat(stop[one], letters), np.repeat(n, letters), first, stop - first
 
 
 @lru_cache(maxsize=None)
@@ -156,46 +162,47 @@ def _sign_keys(codes: np.ndarray, p: _Packed, stop: np.ndarray) -> np.ndarray:
 
 def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, times seen, times at an end) of all contexts of the texts."""
-    keys, ends = [], []
-    m = _Packed([masked(t) for t in texts], same_digits=True)
+    keys, seen, ends = [], [], []
+
+    def add(key: np.ndarray, n: np.ndarray, end: np.ndarray) -> None:
+        keys.append(key)
+        seen.append(n)
+        ends.append(n * end)
+
+    m, w = _Packed([masked(t) for t in texts], same_digits=True), _Packed(texts)
     stop, end, behind = _events(m)
-    for h in m.contexts(stop):
-        keys.append(h)
-        ends.append(end)
-    w = _Packed(texts)
-    start, upto, whole = _word_events(w)
-    keys.append(_mix(w.hash(start, upto), 0x30))
-    ends.append(whole)
-    word_of = np.searchsorted(w.ends, start, "left")
-    before, upto, whole_two = _word_events(m, back=True)
-    keys.append(_mix(m.hash(before, upto), 0x31))
-    ends.append(whole_two)
+    # Places with the same longest context have the same shorter ones, so only one of them is looked at.
+    longest = _mix(m.hash(np.maximum(stop - ORDERS[0], m.begin[stop - 1]), stop) ^ (end.astype(np.uint64) << np.uint64(63)), 0x9F)
+    _, one, n = np.unique(longest, return_index=True, return_counts=True)
+    for h in m.contexts(stop[one]):
+        add(h, n, end[one])
+    start, upto, whole, n, word_at, letters = _word_events(w)
+    add(_mix(w.hash(start, upto), 0x30), n, whole)
+    start, upto, whole, n, _, _ = _word_events(m, back=True)
+    add(_mix(m.hash(start, upto), 0x31), n, whole)
     languages = [language_of(t) for t in texts]
     codes = np.fromiter(map(_language_key, languages), np.int64, len(texts))
     text_of = np.searchsorted(m.ends, stop, "left")
-    keys.append(_sign_keys(codes[text_of[behind]], m, stop[behind]))
-    ends.append(end[behind])
-    key, where = np.unique(np.concatenate(keys), return_inverse=True)
-    seen = np.bincount(where, minlength=len(key)).astype(np.int64)
-    ended = np.bincount(where, weights=np.concatenate(ends), minlength=len(key)).astype(np.int64)
+    add(_sign_keys(codes[text_of[behind]], m, stop[behind]), np.ones(int(behind.sum()), np.int64), end[behind])
     # Ends and whole words of each language, summed by text first.
-    extra: dict[int, list[int]] = {}
-    for family, texts_of, ok in ((0x1A, text_of[~behind], end[~behind]), (WORDS, word_of, whole)):
-        n, k = np.bincount(texts_of, minlength=len(texts)), np.bincount(texts_of, weights=ok, minlength=len(texts)).astype(np.int64)
-        for code, a, b in zip(languages, n.tolist(), k.tolist()):
-            sums = extra.setdefault(_language_key(code, family), [0, 0])
-            sums[0] += a
-            sums[1] += b
-    more = np.array([[k, *v] for k, v in extra.items()], np.int64).reshape(-1, 3)
-    return tuple(np.concatenate([x, more[:, i]]) for i, x in enumerate((key, seen, ended)))
+    word_of = np.searchsorted(w.ends, word_at, "left")
+    count = lambda x, by: np.bincount(x, weights=by, minlength=len(texts)).astype(np.int64)
+    for family, n, k in ((0x1A, count(text_of, ~behind), count(text_of, end & ~behind)), (WORDS, count(word_of, letters), count(word_of, None))):
+        keys.append(np.fromiter((_language_key(c, family) for c in languages), np.int64, len(texts)))
+        seen.append(n)
+        ends.append(k)
+    return _summed(np.concatenate(keys), np.concatenate(seen), np.concatenate(ends))
+
+
+def _summed(key: np.ndarray, seen: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, where = np.unique(key, return_inverse=True)
+    return key, *(np.bincount(where, weights=x, minlength=len(key)).astype(np.int64) for x in (seen, ended))
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(parts) == 1:
         return parts[0]
-    key, where = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-    add = lambda i: np.bincount(where, weights=np.concatenate([x[i] for x in parts]), minlength=len(key)).astype(np.int64)
-    return key, add(1), add(2)
+    return _summed(*(np.concatenate([x[i] for x in parts]) for i in range(3)))
 
 
 def _batch(m: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -235,8 +242,8 @@ def end_model(texts: DataFrame, column: str) -> DataFrame:
     return c.groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
 
 
-def _final_keys(texts: list[str], closed: list[bool], languages: list[str]) -> list[list[tuple[int, int]]]:
-    """The (rank, key) of the final context of each text: ranks count ORDERS, what the sign alone says, the last word and the last two.
+def _final_keys(texts: list[str], closed: list[bool], languages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks, keys and how many of them each text has, of the final contexts: ranks count ORDERS, what the sign alone says, the last word and the last two.
 
     A text that isn't ``closed`` is taken without its closing signs; of the others the last sign stays and their ranks start at BEHIND_SIGN.
     """
@@ -251,21 +258,20 @@ def _final_keys(texts: list[str], closed: list[bool], languages: list[str]) -> l
             s = s.rstrip(ENDERS + _CLOSERS + " \n")
         core.append(s)
     m, w = _Packed([masked(t) for t in core], same_digits=True), _Packed(core)
-    ctx = m.contexts(m.ends)
-    word_end = w.kind[w.ends - 1] == 1
     word = _mix(w.hash(_word_starts(w, w.ends - 1, False), w.ends), 0x30)
     two = _mix(m.hash(_word_starts(m, m.ends - 1, True), m.ends), 0x31)
     alone = _sign_keys(np.fromiter(map(_language_key, languages), np.int64, len(languages)), m, m.ends)
-    n = len(ORDERS)
-    out = []
-    for i, s in enumerate(core):
-        # Of a text of one word the masked context says nothing: only the word counts.
-        keys = [(r, int(h[i])) for r, h in enumerate(ctx)] if re.search(r"\s", s) else []
-        if closed[i]:
-            out.append([(BEHIND_SIGN + r, k) for r, k in [*keys, (n, int(alone[i]))]])
-        else:
-            out.append(keys + ([(n + 1, int(word[i])), (n + 2, int(two[i]))] if word_end[i] else []))
-    return out
+    keys = np.stack([*m.contexts(m.ends), alone, word, two], axis=1)
+    shut = np.array(closed, bool)
+    # Of a text of one word the masked context says nothing: only the word counts.
+    several = np.fromiter((_BLANK.search(s) is not None for s in core), bool, len(core))
+    ends_in_word = (w.kind[w.ends - 1] == 1) & ~shut
+    kept = np.stack([*[several] * len(ORDERS), shut, ends_in_word, ends_in_word], axis=1)
+    ranks = np.arange(keys.shape[1])[None, :] + np.where(shut, BEHIND_SIGN, 0)[:, None]
+    return ranks[kept], keys[kept], kept.sum(axis=1)
+
+
+_FINALS = pa.struct([("rank", pa.int32()), ("key", pa.int64())])
 
 
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,10 +281,12 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = [i for i, (_, a, may) in enumerate(found) if may and not a.open and not a.blank]
         texts = [found[i][1].text for i in some]
         languages = [language_of(found[i][1].reason or t) for i, t in zip(some, texts)]
-        keys: list = [[] for _ in raw]
+        ranks, keys, n = _final_keys(texts, [found[i][1].closed for i in some], languages) if some else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
         codes: list = [None] * len(raw)
-        for i, ks, code in zip(some, _final_keys(texts, [found[i][1].closed for i in some], languages) if some else [], languages):
-            keys[i], codes[i] = ks, code
+        many = np.zeros(len(raw) + 1, np.int32)
+        for i, code, k in zip(some, languages, n.tolist()):
+            codes[i], many[i + 1] = code, k
+        finals = pa.ListArray.from_arrays(pa.array(np.cumsum(many, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(ranks, pa.int32()), pa.array(keys, pa.int64())], fields=list(_FINALS)))
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("row_id"),
@@ -286,7 +294,7 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([d for d, _, _ in found], pa.string()),
                 pa.array([a.open and d == "truncated" for d, a, _ in found], pa.bool_()),
                 pa.array(codes, pa.string()),
-                pa.array([[{"rank": r, "key": k} for r, k in ks] for ks in keys], pa.list_(pa.struct([("rank", pa.int32()), ("key", pa.int64())]))),
+                finals,
             ],
             ["row_id", "combo_id", "defect", "open", "language", "finals"],
         )
