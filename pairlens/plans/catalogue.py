@@ -527,8 +527,8 @@ def q_rouge(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_near_dup(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate share of each run's explanations (tested against all pairs)."""
-    p = table(spark, d, "predictions_explain").select("row_id", F.col("combo_id").alias("run"), X.justification(F.col("parsed"), F.col("raw_text")).alias("text"))
-    return O.near_duplicate_share(O.near_duplicates(p, "row_id", F.col("text"), ["run"]), ["run"])
+    p = table(spark, d, "predictions_explain").select(F.col("combo_id").alias("run"), X.justification(F.col("parsed"), F.col("raw_text")).alias("text"))
+    return O.near_duplicate_share(O.near_duplicate_texts(p, F.col("text"), ["run"]), ["run"])
 
 
 @query("""select row_id, case when contains(lower(prompt_text), 'candidate_class') then 'candidate_class' when contains(lower(prompt_text), 'vegetation_trend') then 'vegetation_trend' when contains(lower(prompt_text), 'reference_class') then 'reference_class'

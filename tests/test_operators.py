@@ -72,6 +72,51 @@ def test_near_duplicates_against_all_pairs(spark):
         assert got[i] == any(j != i and h == g and overlap_scores._f1(t.split(), u.split()) > 0.9 for j, h, u in data), (i, t)
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_near_duplicate_search_writes_no_pairs(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(250):
+        base = [rng.choice(words) for _ in range(rng.randint(15, 40))]
+        texts += [base, [w if rng.random() > 0.06 else rng.choice(words) for w in base]]
+    df = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "id long, t string")
+    before = shuffled_rows(spark)
+    got = {r.id: r.near_duplicate for r in overlap_scores.near_duplicates(df, "id", F.col("t")).collect()}
+    # Most of the 124,750 pairs share one of their rarer words; a text is sent to a handful of tasks at most.
+    assert sum(n for k, n in shuffled_rows(spark).items() if k not in before) < 10 * len(texts)
+    want = {i: any(j != i and overlap_scores._f1(t, u) > 0.9 for j, u in enumerate(texts)) for i, t in enumerate(texts)}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_near_duplicates_in_bands_and_blocks(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(25)]
+    texts = [[], ["x"], ["x"], ["a"] * 30, ["a"] * 32, ["a", "b"] * 15, ["b", "a"] * 15]
+    for _ in range(90):
+        base = [rng.choice(words) for _ in range(rng.randint(1, 45))]
+        near = [w for w in base for w in ([w] if rng.random() > 0.08 else rng.choice([[], [w, "new"], ["new"]]))]
+        texts += [base, near, base[len(base) // 2 :] + base[: len(base) // 2]]
+    data = [(i, [None, "a"][i % 4 == 0], " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "id long, g string, t string")
+    for cutoff in (0.9, 0.6):
+        want = {(g, t): sum((g, t) == (h, u) for _, h, u in data) > 1 and t != "" or any((g, t) != (h, u) and g == h and overlap_scores._f1(t.split(), u.split()) > cutoff for _, h, u in data) for _, g, t in data}
+        for block in (150, 600, 1 << 20):
+            got = overlap_scores.near_duplicate_texts(df, F.col("t"), ["g"], cutoff, block)
+            assert {(r.g, r._t): r.near_duplicate for r in got.collect()} == want, (cutoff, block)
+    share = {r.g: (r.n, r.share) for r in overlap_scores.near_duplicate_share(got, ["g"]).collect()}
+    for group in (None, "a"):
+        marks = [want[g, t] for _, g, t in data if g == group]
+        assert share[group] == (len(marks), sum(marks) / len(marks))
+    assert overlap_scores.near_duplicate_texts(df.limit(0), F.col("t"), ["g"]).count() == 0
+
+
 @pytest.mark.parametrize(("text", "want"), [("Stable", "stable"), ('"change_class": "stable"|"decline"', "decline"), ('{"change_class": "increase"}', "increase"), ("x" * 80 + " increase then decline", "decline"), ("unanswerable", None), ("", None), (None, None), ("Gain.", "increase"), ("Side by side: before, after: decline", "decline"), ("Reply: decline, increase, or stable please, with nothing more than that word stable: increase", "increase")])
 def test_parse_class(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
